@@ -11,27 +11,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of algorithm version 1. Which characters count as white space, word or digit:
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 # U+10400 is in \p{L} already; a literal supplementary character makes the look-behind read whole
 # code points.
 WORD = r"\p{L}\p{N}_" + "\U00010400"
 DIGIT = r"\p{Nd}"
 
+# Each pattern starts with the cheapest test that most characters fail.
 # /* ... */ goes; an unclosed comment is captured to the end and put back as it was.
-_BLOCK_COMMENT = r"(?s)/\*.*?\*/|(/\*.*+)"
+_BLOCK_COMMENT = r"(?s)/\*(?:.*?\*/|(?<=(/\*))(.*+))"
 _LINE_COMMENT = r"--[^\n]*+"
 # Runs of white space, without the single blanks that would be replaced by themselves.
-_SPACES = rf"[{WHITESPACE}]{{2,}}+|[{WHITESPACE}&&[^ ]]"
+_SPACES = rf"[^!-~](?<=[{WHITESPACE}])(?:(?<! )[{WHITESPACE}]*+|[{WHITESPACE}]++)"
 # Literals are matched back to back from the start (\G), each with the unquoted text before it.
 # Once a quote does not close, no later one does, so stopping there is exact.
 _STRING = r"\G([^']*+)'(?:[^'\\]++|\\.)*+'"
-# The digit test comes first because most characters fail it.
-_NUMBER = rf"(?=[{DIGIT}])(?<![{WORD}])[{DIGIT}]++(?:\.[{DIGIT}]++)?(?![{WORD}])"
+_NUMBER = rf"[{DIGIT}](?<![{WORD}][{DIGIT}])[{DIGIT}]*+(?:\.[{DIGIT}]++)?(?![{WORD}])"
 
 
 def strip_block(text: Column) -> Column:
     """Remove ``/* ... */`` comments; nothing is put in their place."""
-    return F.regexp_replace(text, _BLOCK_COMMENT, "$1")
+    stripped = F.regexp_replace(text, _BLOCK_COMMENT, "$1$2")
+    return F.when(text.contains("/*"), stripped).otherwise(text)
 
 
 def strip_line(text: Column) -> Column:

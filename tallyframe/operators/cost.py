@@ -107,7 +107,8 @@ def attributed_ranking(prints: DataFrame, billing: DataFrame, params: Params) ->
 def current_costs(prints: DataFrame, billing: DataFrame, params: Params) -> DataFrame:
     """Per fingerprint: executions observed now, and execs / attributed_usd of the lookback window.
 
-    One pass over the statements serves both; the two windows differ only if the lookback is not 30.
+    One pass over the statements serves both. The two windows differ only if the lookback is not 30;
+    a fingerprint of one window alone has NULL in the columns of the other.
     """
     lo = params.ago(max(params.lookback, CURRENT_FROM))
     rate = warehouse_rate(prints, billing, params)
@@ -120,5 +121,4 @@ def current_costs(prints: DataFrame, billing: DataFrame, params: Params) -> Data
             F.sum(F.when(matched, F.col("n"))).alias("execs"),
             F.sum("usd").alias("attributed_usd"),
         )
-        .where(F.col("observed").isNotNull())
     )

@@ -25,6 +25,7 @@ def spread_join(
     null_key = F.lit(False)
     for name in on:
         null_key = null_key | F.col(name).isNull()
-    salt = F.when(null_key, hashed).otherwise(F.pmod(hashed, F.lit(salts).cast("long")))
+    # Neither branch can be NULL, which keeps a NULL test of the hash out of the scan below.
+    salt = F.when(null_key, hashed).otherwise(F.coalesce(F.pmod(hashed, F.lit(salts).cast("long")), hashed))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     return left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")

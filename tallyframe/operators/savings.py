@@ -53,7 +53,11 @@ def rule_effectiveness(prints: DataFrame, billing: DataFrame, params: Params) ->
     Every rule of a fingerprint is held against all its current executions. Fingerprints without
     current executions drop out here; :func:`fully_avoided` has them.
     """
-    current = current_costs(prints, billing, params)
+    return _effectiveness(prints, current_costs(prints, billing, params), params)
+
+
+def _effectiveness(prints: DataFrame, costs: DataFrame, params: Params) -> DataFrame:
+    current = costs.where(F.col("observed").isNotNull())
     gap = _expected(params) - F.col("observed")
     per_exec = F.coalesce(F.col("attributed_usd") / F.nullif(F.col("execs"), F.lit(0)), F.lit(0.0))
     return (
@@ -99,8 +103,10 @@ def savings_layers(prints: DataFrame, billing: DataFrame, params: Params) -> Dat
     """
     raw = warehouse_cost(billing, params).agg(F.sum("wh_usd").alias("usd"))
     repeats = F.col("attributed_usd") * (F.col("execs") - 1) / F.col("execs")
-    projected = attributed_cost(prints, billing, params).agg(F.sum(repeats).alias("usd"))
-    realized = rule_effectiveness(prints, billing, params).agg(F.sum("realized_usd").alias("usd"))
+    # Both savings layers read the same costs, whose shuffles are then shared.
+    costs = current_costs(prints, billing, params)
+    projected = costs.agg(F.sum(repeats).alias("usd"))
+    realized = _effectiveness(prints, costs, params).agg(F.sum("realized_usd").alias("usd"))
     layers = [("raw", raw), ("projected_saving", projected), ("realized_saving", realized)]
     out = None
     for name, df in layers:

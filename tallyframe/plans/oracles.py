@@ -42,7 +42,8 @@ billing AS (
   SELECT DATE '2024-01-01' + CAST(o_orderkey % 90 AS INTEGER) AS d,
          'SKU_' || substr(o_orderpriority, 1, 1) AS sku_name,
          CASE WHEN o_custkey % 13 <> 0 THEN 'wh' || (o_custkey % 6) END AS warehouse_id,
-         CAST(round(o_totalprice / 1000, 3) AS DECIMAL(18, 6)) AS usage_quantity
+         -- thousandths, half up, from whole cents: a double would round some halves down
+         CAST(((CAST(round(o_totalprice * 100) AS BIGINT) + 50) // 100) / 1000 AS DECIMAL(18, 6)) AS usage_quantity
   FROM orders
 )"""
 
@@ -227,7 +228,7 @@ ORACLES: dict[str, str] = {
            substr(list_filter(tokens, lambda t: starts_with(t, 'rule='))[-1], 6) AS rule_id,
            substr(list_filter(tokens, lambda t: starts_with(t, 'route='))[-1], 7) AS route,
            CAST(len(list_distinct(list_transform(tokens, lambda t: split_part(t, '=', 1)))) AS INTEGER) AS fields
-           FROM read WHERE tokens IS NOT NULL""",
+           FROM read""",
     "gateway_routed_flag": _H
     + " SELECT statement_id, statement_text LIKE '/* abx %' AS routed FROM history",
     "has_tag_flag": _H

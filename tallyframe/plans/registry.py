@@ -35,7 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 P = src.PARAMS
 # Start of the last third of the log: what an earlier ingest has not seen.
 CUT = "2024-03-01 00:00:00"
-_TEXT = F.col("statement_text")
 
 QUERIES: dict[str, Query] = {}
 
@@ -114,17 +113,17 @@ def view_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalized_sql(spark: SparkSession, sf: str) -> DataFrame:
-    return src.history(spark, sf).select("statement_id", normalize_sql(_TEXT).alias("normalized"))
+    return src.history(spark, sf).select("statement_id", normalize_sql(F.col("statement_text")).alias("normalized"))
 
 
 @query
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return src.history(spark, sf).select("statement_id", fingerprint(_TEXT).alias("ck"))
+    return src.history(spark, sf).select("statement_id", fingerprint(F.col("statement_text")).alias("ck"))
 
 
 @query
 def fingerprints_versioned(spark: SparkSession, sf: str) -> DataFrame:
-    return src.history(spark, sf).select("statement_id", *fingerprint_versioned(_TEXT))
+    return src.history(spark, sf).select("statement_id", *fingerprint_versioned(F.col("statement_text")))
 
 
 @query
@@ -135,7 +134,7 @@ def document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tag_fields(spark: SparkSession, sf: str) -> DataFrame:
-    tag = src.history(spark, sf).select("statement_id", parse_tag(_TEXT).alias("tag"))
+    tag = src.history(spark, sf).select("statement_id", parse_tag(F.col("statement_text")).alias("tag"))
     return tag.select(
         "statement_id",
         F.col("tag.v").alias("v"),
@@ -143,17 +142,17 @@ def tag_fields(spark: SparkSession, sf: str) -> DataFrame:
         F.col("tag.rule").alias("rule_id"),
         F.col("tag.route").alias("route"),
         F.size("tag").alias("fields"),
-    ).where(F.col("fields") >= 0)
+    )
 
 
 @query
 def gateway_routed_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return src.history(spark, sf).select("statement_id", is_gateway_routed(_TEXT).alias("routed"))
+    return src.history(spark, sf).select("statement_id", is_gateway_routed(F.col("statement_text")).alias("routed"))
 
 
 @query
 def has_tag_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return src.history(spark, sf).select("statement_id", has_tag(_TEXT).alias("has_tag"))
+    return src.history(spark, sf).select("statement_id", has_tag(F.col("statement_text")).alias("has_tag"))
 
 
 # Ingest
@@ -456,9 +455,12 @@ def rules_from_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def effectiveness_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Export documents, written and read back."""
-    path = new_folder(spark, "export")
-    rules.export_documents(_effect(spark, sf), "2024-03-31T00:00:00+00:00", rows_per_document=25).write.text(path)
+    """Export documents made from the effectiveness table, written and read back."""
+    root, path = new_folder(spark, "state"), new_folder(spark, "export")
+    effect = _effect(spark, sf).withColumn("updated_at", F.current_timestamp())
+    state.overwrite(effect, root, "rule_effectiveness")
+    stored = state.read_state(spark, root, "rule_effectiveness")
+    rules.export_documents(stored, "2024-03-31T00:00:00+00:00", rows_per_document=25).write.text(path)
     document = "reported_at string, effectiveness array<struct<{}>>".format(
         ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in EXPORT)
     )

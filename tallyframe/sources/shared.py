@@ -1,11 +1,17 @@
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyframe-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
@@ -16,9 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tallyframe-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
