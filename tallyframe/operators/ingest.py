@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fingerprint, tag_tokens, token_value
+from tallyframe.functions import fingerprint, tag_tokens, to_second, token_value
 from tallyframe.operators.predicates import finished, since
 from tallyframe.schemas import FINGERPRINT_HISTORY
 
@@ -29,7 +29,7 @@ def to_prints(history: DataFrame, ingested_at: Column | None = None, whole_secon
 
     ``whole_seconds`` cuts the start time to seconds, as a log loaded through formatted strings has it.
     """
-    start = F.date_trunc("second", "start_time") if whole_seconds else F.col("start_time")
+    start = to_second(F.col("start_time")) if whole_seconds else F.col("start_time")
     return (
         finished(history)
         .withColumn("_tokens", tag_tokens(F.col("statement_text")))

@@ -234,6 +234,8 @@ ORACLES: dict[str, str] = {
     "has_tag_flag": _H
     + r""" SELECT statement_id,
            regexp_matches(ltrim(coalesce(statement_text, '')), '^/\*\s*abx\s+([^*]+)\*/') AS has_tag FROM history""",
+    "lenient_numbers": """SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS digit,
+           TRY_CAST(o_orderpriority AS DOUBLE) AS label FROM orders""",
     "finished_statements": _H
     + f" SELECT {_STATEMENT_COLUMNS} FROM history WHERE execution_status = 'FINISHED'",
     "ingest_checkpoint": _H

@@ -7,8 +7,6 @@ order in the last digits; the operators themselves do not round.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from tallyframe.functions import (
     is_gateway_routed,
     normalize_sql,
     parse_tag,
+    to_number,
 )
 from tallyframe.operators import cost, coverage, ingest, predicates, reports, rules, savings
 from tallyframe.operators.ingest import to_prints
@@ -155,6 +154,15 @@ def has_tag_flag(spark: SparkSession, sf: str) -> DataFrame:
     return src.history(spark, sf).select("statement_id", has_tag(F.col("statement_text")).alias("has_tag"))
 
 
+@query
+def lenient_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that are numbers and texts that are not."""
+    digit = F.substring("o_orderpriority", 1, 1)
+    return src.table(spark, sf, "orders").select(
+        "o_orderkey", to_number(digit).alias("digit"), to_number(F.col("o_orderpriority")).alias("label")
+    )
+
+
 # Ingest
 
 
@@ -355,9 +363,12 @@ def rule_effectiveness_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def effectiveness_latest(spark: SparkSession, sf: str) -> DataFrame:
-    """Newest of two comparison windows."""
-    older = _effect(spark, sf, Params(P.as_of - timedelta(days=1)))
-    return rules.export_rows(_effect(spark, sf).unionByName(older)).select(
+    """Newest of two comparison windows in the effectiveness table."""
+    root = new_folder(spark, "state")
+    for as_of in (P.as_of, P.ago(1)):
+        effect = _effect(spark, sf, Params(as_of)).withColumn("updated_at", F.current_timestamp())
+        state.append(effect, root, "rule_effectiveness")
+    return rules.export_rows(state.read_state(spark, root, "rule_effectiveness")).select(
         "rule_id", "ck", "window", "avoided", *money("realized_usd")
     )
 
