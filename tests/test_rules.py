@@ -1,0 +1,123 @@
+import json
+from datetime import datetime, timedelta
+
+import data
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.functions import FP_VERSION
+from tallyframe.operators import rules
+from tallyframe.operators.savings import rule_effectiveness
+from tallyframe.schemas import EXPORT_COLUMNS, QUERY_HISTORY, RULES
+
+T0 = datetime(2024, 3, 1)
+
+
+def rule(rule_id, text, minutes=0, kind="cache"):
+    return (rule_id, kind, text, json.dumps({"d": text}), T0 + timedelta(minutes=minutes))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, RULES)
+
+
+def test_upsert(spark):
+    old = frame(spark, [rule("a", "old", 99), rule("b", "kept")])
+    new = frame(spark, [rule("a", "first", 1), rule("a", "newest", 3), rule("a", "second", 2), rule("c", "added")])
+    rows = rules.upsert_rules(old, new).collect()
+    assert {r.rule_id: r.description for r in rows} == {"a": "newest", "b": "kept", "c": "added"}
+    assert {r.rule_id: r.config_json for r in rows}["a"] == '{"d": "newest"}'
+    assert rules.upsert_rules(old, frame(spark, [])).count() == 2
+
+
+def test_upsert_with_one_rule_in_a_third_of_the_rows(spark):
+    many = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 500).cast("string"))).alias("rule_id"),
+        F.lit("cache").alias("rule_type"),
+        F.col("id").cast("string").alias("description"),
+        F.lit("{}").alias("config_json"),
+        F.timestamp_seconds(F.col("id")).alias("pulled_at"),
+    )
+    got = {r.rule_id: int(r.description) for r in rules.upsert_rules(frame(spark, []), many).collect()}
+    want = {}
+    for i in range(30_000):
+        want["hot" if i % 3 == 0 else f"r{i % 500}"] = i
+    assert got == want
+
+
+DOCUMENT = {
+    "rules": [
+        {"rule_id": "r1", "rule_type": "cache", "description": "d'1", "config_json": "{}", "extra": {"a": [1, 2]}},
+        {"rule_id": "r2"},
+        {"rule_id": "r3", "rule_type": None, "description": "x"},
+    ]
+}
+
+
+def checked(rows):
+    got = {r.rule_id: r for r in rows}
+    assert {k: (r.rule_type, r.description) for k, r in got.items()} == {
+        "r1": ("cache", "d'1"),
+        "r2": ("", ""),
+        "r3": ("", "x"),
+    }
+    assert json.loads(got["r1"].config_json) == DOCUMENT["rules"][0]
+    assert json.loads(got["r2"].config_json) == {"rule_id": "r2"}
+    assert {r.pulled_at for r in rows} == {T0}
+
+
+def test_documents_from_files(spark, tmp_path):
+    (tmp_path / "doc.json").write_text(json.dumps(DOCUMENT, indent=2))
+    checked(rules.read_rules(spark, str(tmp_path), F.lit(T0)).collect())
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.json").write_text(json.dumps(DOCUMENT) + "\n" + json.dumps({"rules": []}) + "\n{}\n")
+    checked(rules.read_rules(spark, str(lines), F.lit(T0), multi_line=False).collect())
+
+
+def test_documents_from_a_column(spark):
+    df = spark.createDataFrame([(json.dumps(DOCUMENT),), (None,), ('{"other": 1}',)], "body string")
+    checked(rules.parse_rules(df, "body", F.lit(T0)).collect())
+
+
+@pytest.fixture(scope="module")
+def effect(spark):
+    prints = data.prints_df(spark, data.prints_rows(seed=5))
+    billing = data.billing_df(spark, data.billing_rows(seed=6))
+    new = rule_effectiveness(prints, billing, data.P)
+    old = new.withColumn("window", F.lit("2024-02-01/2024-03-02"))
+    return new.unionByName(old).cache()
+
+
+def test_only_the_newest_window_and_whitelisted_columns_leave(effect):
+    rows = rules.export_rows(effect)
+    assert rows.columns == EXPORT_COLUMNS
+    assert {r.window for r in rows.collect()} == {"2024-03-01/2024-03-31"}
+    assert rows.count() * 2 == effect.count()
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_export_documents(effect, size):
+    rows = rules.export_rows(effect).count()
+    docs = [json.loads(r.value) for r in rules.export_documents(effect, "2024-03-31T00:00:00+00:00", size).collect()]
+    assert len(docs) <= -(-rows // size)
+    assert all(set(d) == {"reported_at", "effectiveness"} for d in docs)
+    items = [e for d in docs for e in d["effectiveness"]]
+    assert len(items) == rows
+    assert set().union(*items) <= set(EXPORT_COLUMNS)
+    assert len({(e["ck"], e.get("rule_id")) for e in items}) == rows
+
+
+def test_tag_audit(spark):
+    ck = "3nsd42abayx4fysh"  # of SELECT id FROM t
+    texts = {
+        "match": f"/* abx v={FP_VERSION} ck={ck} */ SELECT id FROM t",
+        "ck_mismatch": "/* abx v=1 ck=x */ SELECT id FROM t",
+        "no_ck": "/* abx v=1 */ SELECT id FROM t",
+        "other_version": f"/* abx v=2 ck={ck} */ SELECT id FROM t",
+        "void": "/* abx v=1 bad */ SELECT id FROM t",
+        "untagged": "SELECT id FROM t",
+    }
+    rows = [(f"s{i}", "u", "w", "S", "FINISHED", 1, 1, T0, T0, t) for i, t in enumerate([*texts.values(), None])]
+    audit = rules.tag_audit(spark.createDataFrame(rows, QUERY_HISTORY))
+    assert {r.outcome: r.statements for r in audit.collect()} == {**dict.fromkeys(texts, 1), "untagged": 2}

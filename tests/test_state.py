@@ -1,0 +1,175 @@
+import json
+from datetime import date, datetime, timedelta, timezone
+
+import data
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe import __main__ as main
+from tallyframe.operators import ingest
+from tallyframe.operators.cost import warehouse_duration
+from tallyframe.operators.reports import redundancy_table
+from tallyframe.params import Params
+from tallyframe.plans import jobs
+from tallyframe.schemas import BILLING_USAGE, PARTITIONED_BY, QUERY_HISTORY, STATE
+from tallyframe.sources import driver_tables as src
+from tallyframe.sources import state
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def root(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state.create_state(spark, path)
+    return path
+
+
+def statement(i, start, text="SELECT 1", status="FINISHED", ms=5):
+    return (f"s{i}", "u1", "wh0", "SELECT", status, ms, 1, start, start + timedelta(milliseconds=ms), text)
+
+
+def history(spark, rows):
+    return spark.createDataFrame(rows, QUERY_HISTORY)
+
+
+def plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_tables_start_empty_with_their_schema(spark, root):
+    for table, schema in STATE.items():
+        df = state.read_state(spark, root, table)
+        assert df.count() == 0
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]
+    state.create_state(spark, root)
+
+
+def test_schema_is_checked_before_a_write(spark, root):
+    prints = data.prints_df(spark, data.prints_rows(n=5))
+    with pytest.raises(ValueError, match="ck"):
+        state.append(prints.drop("ck"), root, "fingerprint_history")
+    broken = prints.withColumn("ck", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="NULL in fingerprint_history.ck"):
+        state.append(broken, root, "fingerprint_history")
+    assert state.read_state(spark, root, "fingerprint_history").count() == 0
+
+
+def test_append_and_partition_pruning(spark, root):
+    rows = data.prints_rows(n=500)
+    state.append(data.prints_df(spark, rows), root, "fingerprint_history")
+    stored = state.read_state(spark, root, "fingerprint_history")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, data.prints_df(spark, rows).collect()))
+    text = plan(redundancy_table(stored, data.P))
+    assert "PartitionFilters: [isnotnull(d" in text and "d#" in text
+    scan = plan(warehouse_duration(stored, data.P))
+    assert "ReadSchema: struct<warehouse_id:string,total_duration_ms:bigint>" in scan
+
+
+def daily(spark, days, ratio):
+    rows = [(date(2024, 3, d), 1, 2, ratio) for d in days]
+    df = spark.createDataFrame(rows, "d date, gateway_routed long, total long, coverage_ratio double")
+    return df.withColumn("updated_at", F.current_timestamp())
+
+
+@pytest.mark.parametrize("keep, left", [(True, {1: 0.1, 2: 0.2, 3: 0.2}), (False, {2: 0.2, 3: 0.2})])
+def test_overwrite(spark, root, keep, left):
+    state.overwrite(daily(spark, [1, 2], 0.1), root, "coverage_daily", keep)
+    state.overwrite(daily(spark, [2, 3], 0.2), root, "coverage_daily", keep)
+    rows = state.read_state(spark, root, "coverage_daily").collect()
+    assert {r.d.day: r.coverage_ratio for r in rows} == left and len(rows) == len(left)
+
+
+def test_one_row_per_statement(spark):
+    start = datetime(2024, 3, 1, 12)
+    rows = [statement(0, start)] * 500 + [statement(0, start + timedelta(hours=1), "SELECT 2 FROM a")]
+    rows += [statement(i, start) for i in range(1, 20)]
+    prints = ingest.to_prints(history(spark, rows), F.lit(start))
+    kept = ingest.unique_statements(prints).collect()
+    assert len(kept) == 20
+    assert {r.statement_id: r.start_time for r in kept}["s0"] == start + timedelta(hours=1)
+
+
+def test_position_is_exclusive_and_defaults(spark):
+    start = datetime(2024, 3, 1)
+    rows = [statement(0, start), statement(1, start + timedelta(microseconds=1)), statement(2, start, status="FAILED")]
+    got = ingest.ingest_batch(history(spark, rows), F.lit("2024-03-01 00:00:00"))
+    assert [r.statement_id for r in got.collect()] == ["s1"]
+    empty = data.prints_df(spark, [])
+    default = ingest.first_load_from(data.AS_OF, 30)
+    assert ingest.checkpoint(empty, default).first()[0] == start
+    stored = ingest.to_prints(history(spark, rows))
+    assert ingest.checkpoint(stored, default).first()[0] == start + timedelta(microseconds=1)
+
+
+def test_ingest_twice_adds_nothing_and_late_finishers_arrive(spark, root):
+    start = datetime(2024, 3, 30, 10)
+    early = [statement(i, start + timedelta(minutes=i)) for i in range(5)]
+    running = statement(9, start - timedelta(hours=2), status="RUNNING")
+    old = statement(8, start - timedelta(days=95))
+
+    def ids():
+        return sorted(r.statement_id for r in state.read_state(spark, root, "fingerprint_history").collect())
+
+    for _ in range(2):
+        jobs.run_ingest(spark, root, history(spark, [*early, running, old]), data.P)
+        assert ids() == ["s0", "s1", "s2", "s3", "s4"]
+    done = statement(9, start - timedelta(hours=2))
+    newer = statement(10, start + timedelta(hours=1))
+    jobs.run_ingest(spark, root, history(spark, [*early, done, newer, newer]), data.P)
+    assert ids() == ["s0", "s1", "s10", "s2", "s3", "s4", "s9"]
+
+
+def test_whole_chain_on_the_test_tables(spark, tmp_path):
+    inputs, root, out = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "out")
+    src.history(spark, SF).write.parquet(f"{inputs}/history")
+    src.billing(spark, SF).write.parquet(f"{inputs}/billing")
+    src.rule_documents(spark, SF).write.text(f"{inputs}/rules")
+    documents = tmp_path / "docs"
+    documents.mkdir()
+    (documents / "rules.json").write_text(json.dumps({"rules": [{"rule_id": "r1", "rule_type": "cache"}]}))
+    args = ["--root", root, "--history", f"{inputs}/history", "--billing", f"{inputs}/billing"]
+    args += ["--rules", str(documents), "--out", out, "--as-of", "2024-03-31"]
+    main.main(args)
+    tables = {t: state.read_state(spark, root, t) for t in STATE}
+    assert tables["fingerprint_history"].count() == src.history(spark, SF).where("execution_status = 'FINISHED'").count()
+    assert tables["waterfall_daily"].count() > 0 and tables["coverage_daily"].count() == 30
+    effect = tables["rule_effectiveness"]
+    assert effect.count() == 63 and effect.agg(F.sum("avoided")).first()[0] == 32
+    assert effect.agg(F.sum("realized_usd")).first()[0] == pytest.approx(7395.31, abs=0.01)
+    assert [r.rule_id for r in tables["rules"].collect()] == ["r1"]
+    log = tables["sync_log"].first()
+    size = sum(len(r.value.encode()) for r in spark.read.text(out).collect())
+    assert (log.status, log.direction, log.payload_bytes) == ("ok", "push_pull", size)
+    for table, key in PARTITIONED_BY.items():
+        assert "PartitionFilters: [isnotnull" in plan(state.read_state(spark, root, table).where(F.col(key) > "2024-03-30"))
+    with pytest.raises(SystemExit):
+        main.main(["--root", root, "--mode", "sync"])
+
+
+def test_failed_sync_is_logged_and_raised(spark, root, tmp_path):
+    now = datetime(2024, 3, 31, 1, tzinfo=timezone.utc)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jobs.run_sync(spark, root, str(tmp_path / "nowhere"), str(tmp_path / "out"), now)
+    log = state.read_state(spark, root, "sync_log").first()
+    assert log.status.startswith("error: ") and log.payload_bytes == 0 and log.d == date(2024, 3, 31)
+
+
+def test_rules_snapshots(spark, root):
+    def rules(text):
+        rows = [("r1", "cache", text, "{}", datetime(2024, 3, 1))]
+        return spark.createDataFrame(rows, STATE["rules"])
+
+    for n in (1, 2):
+        state.write_rules(rules(f"v{n}"), root, src.midnight(n))
+    assert [r.description for r in state.read_state(spark, root, "rules").collect()] == ["v2"]
+
+
+def test_recompute_keeps_or_drops_older_days(spark, root):
+    billing = spark.createDataFrame([], BILLING_USAGE).unionByName(src.billing(spark, SF))
+    log = src.history(spark, SF)
+    jobs.run_recompute(spark, root, log, billing, Params(data.AS_OF, lookback=90))
+    jobs.run_recompute(spark, root, log, billing, data.P)
+    assert state.read_state(spark, root, "coverage_daily").count() == 90
+    jobs.run_recompute(spark, root, log, billing, data.P, keep_other_days=False)
+    assert state.read_state(spark, root, "coverage_daily").count() == 30
