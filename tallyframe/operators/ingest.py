@@ -25,13 +25,14 @@ def checkpoint(prints: DataFrame, default: Column) -> DataFrame:
 
 
 def to_prints(history: DataFrame, ingested_at: Column | None = None, whole_seconds: bool = False) -> DataFrame:
-    """Fingerprint rows of the finished statements: pure projection, no shuffle.
+    """Fingerprint rows of the finished statements that have a start time: no shuffle.
 
     ``whole_seconds`` cuts the start time to seconds, as a log loaded through formatted strings has it.
     """
     start = to_second(F.col("start_time")) if whole_seconds else F.col("start_time")
     return (
         finished(history)
+        .where(F.col("start_time").isNotNull())
         .withColumn("_tokens", tag_tokens(F.col("statement_text")))
         .select(
             fingerprint(F.col("statement_text")).alias("ck"),

@@ -14,6 +14,7 @@ from tallyframe.operators.rules import export_documents, read_rules, upsert_rule
 from tallyframe.operators.savings import rule_effectiveness
 from tallyframe.params import Params
 from tallyframe.sources.state import append, log_sync, overwrite, read_state, write_rules
+from tallyframe.sources.views import HISTORY_DAYS
 
 # Hours before the checkpoint that an ingest reads again, for statements that finished late.
 OVERLAP_HOURS = 24
@@ -29,16 +30,25 @@ def run_ingest(
 ) -> None:
     """Append the statements that finished since the last run. Running it again changes nothing."""
     prints = read_state(spark, root, "fingerprint_history")
-    # The newest start time lies in the newest day. The day comes from the partition values.
-    newest_day = prints.agg(F.max("d")).first()[0]
-    if newest_day is not None:
-        prints = prints.where(F.col("d") >= F.lit(newest_day))
-    mark = checkpoint(prints, first_load_from(params.as_of, first_load_days)).select(
+    mark = checkpoint(_newest_day(prints, params), first_load_from(params.as_of, first_load_days)).select(
         (F.col("checkpoint") - F.make_dt_interval(hours=F.lit(overlap_hours))).alias("ts")
     )
     micros, day = mark.select(F.unix_micros("ts"), F.to_date("ts")).first()
     new = ingest_batch(history, F.timestamp_micros(F.lit(micros)))
-    append(dedupe(new, read_state(spark, root, "fingerprint_history"), day), root, "fingerprint_history")
+    append(dedupe(new, prints, day), root, "fingerprint_history")
+
+
+def _newest_day(prints: DataFrame, params: Params) -> DataFrame:
+    """The rows of the newest stored day, which has the newest start time.
+
+    The day is a partition value. Only if nothing was stored lately are the older partitions opened.
+    """
+    recent = prints.where(F.col("d") >= params.day(HISTORY_DAYS))
+    for part in (recent, prints):
+        day = part.agg(F.max("d")).first()[0]
+        if day is not None:
+            return prints.where(F.col("d") == F.lit(day))
+    return prints
 
 
 def recompute(
@@ -75,7 +85,8 @@ def run_sync(spark: SparkSession, root: str, rules_path: str, out_path: str, ts:
     status, payload_bytes = "ok", 0
     try:
         incoming = read_rules(spark, rules_path, F.lit(ts))
-        write_rules(upsert_rules(read_state(spark, root, "rules"), incoming), root, ts)
+        if not incoming.isEmpty():
+            write_rules(upsert_rules(read_state(spark, root, "rules"), incoming), root, ts)
         effectiveness = read_state(spark, root, "rule_effectiveness")
         export_documents(effectiveness, ts.isoformat()).write.text(out_path)
         payload_bytes = spark.read.text(out_path).agg(F.sum(F.octet_length("value"))).first()[0] or 0

@@ -23,7 +23,7 @@ from tallyframe.operators import cost, coverage, ingest, predicates, reports, ru
 from tallyframe.operators.ingest import to_prints
 from tallyframe.params import Params
 from tallyframe.plans.jobs import recompute
-from tallyframe.schemas import EXPORT, FINGERPRINT_HISTORY
+from tallyframe.schemas import EXPORT
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources import state, views
 from tallyframe.sources.shared import new_folder
@@ -229,13 +229,12 @@ def fingerprint_history_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as a stream into the partitioned sink, read back."""
-    target = new_folder(spark, "stream-prints")
-    start_ingest(
-        src.history_from_events(_event_stream(spark, sf)), target, new_folder(spark, "stream-position"), "91 days"
-    ).awaitTermination()
-    prints = spark.read.schema(FINGERPRINT_HISTORY).parquet(target)
-    return prints.select(*FINGERPRINT_HISTORY.names).drop("ingested_at")
+    """The log as a stream into the state table, read back."""
+    root = new_folder(spark, "stream-state")
+    state.create_state(spark, root)
+    log = src.history_from_events(_event_stream(spark, sf))
+    start_ingest(log, root, new_folder(spark, "stream-position")).awaitTermination()
+    return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
 
 
 @query

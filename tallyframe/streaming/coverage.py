@@ -6,7 +6,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators.coverage import coverage_counts, coverage_ratio
 from tallyframe.sources.state import overwrite
-from tallyframe.streaming.ingest import LATENESS
+
+# Must exceed the longest statement plus its delivery lag.
+LATENESS = "2 days"
 
 
 def coverage_stream(history: DataFrame, lateness: str = LATENESS) -> DataFrame:

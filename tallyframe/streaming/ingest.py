@@ -1,13 +1,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyframe.operators.ingest import to_prints
+from tallyframe.operators.ingest import dedupe, to_prints
 from tallyframe.schemas import QUERY_HISTORY
-
-# Must exceed the longest statement plus its delivery lag.
-LATENESS = "2 days"
+from tallyframe.sources.state import append, read_state
 
 
 def history_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -18,28 +17,24 @@ def history_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path)
 
 
-def ingest_stream(history: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Fingerprint rows, each statement once. The text is gone before the state is keyed."""
-    return (
-        to_prints(history)
-        .withWatermark("start_time", lateness)
-        .dropDuplicatesWithinWatermark(["statement_id"])
-    )
+def start_ingest(history: DataFrame, root: str, checkpoint_dir: str) -> StreamingQuery:
+    """Add all that has arrived to ``fingerprint_history``, each statement once, and stop.
 
+    The table itself tells what is known, so no state grows with the stream, a statement may arrive
+    any number of days late, and a batch that is repeated after a failure adds nothing. Copies
+    within a batch are merged before the shuffle, however many there are. One writer at a time.
+    """
 
-def start_ingest(
-    history: DataFrame, target: str, checkpoint_dir: str, lateness: str = LATENESS
-) -> StreamingQuery:
-    """Process all that has arrived and stop. The target belongs to this query alone.
+    def add(batch: DataFrame, _: int) -> None:
+        first_day = batch.agg(F.min(F.to_date("start_time"))).first()[0]
+        if first_day is None:
+            return
+        known = read_state(batch.sparkSession, root, "fingerprint_history")
+        append(dedupe(to_prints(batch), known, first_day), root, "fingerprint_history")
 
-    The file sink commits each batch once, also after a restart.
-    """
     return (
-        ingest_stream(history, lateness)
-        .writeStream.format("parquet")
-        .partitionBy("d")
+        history.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint_dir)
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(target)
+        .start()
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.coverage import coverage_daily
 from tallyframe.operators.ingest import to_prints
 from tallyframe.params import Params
-from tallyframe.schemas import FINGERPRINT_HISTORY, QUERY_HISTORY
+from tallyframe.schemas import QUERY_HISTORY
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources.state import create_state, read_state
 from tallyframe.streaming import history_stream, start_coverage, start_ingest
@@ -31,12 +31,15 @@ def arriving(spark, tmp_path):
 
 def test_ingest_stream_equals_batch(spark, tmp_path, arriving):
     folder, log, deliver = arriving
-    target, position = str(tmp_path / "prints"), str(tmp_path / "position")
+    root, position = str(tmp_path / "state"), str(tmp_path / "position")
+    create_state(spark, root)
     for part in (slice(0, 4), slice(4, 10)):
         deliver(part)
-        start_ingest(history_stream(spark, folder, files_per_batch=2), target, position).awaitTermination()
-    start_ingest(history_stream(spark, folder), target, position).awaitTermination()
-    got = spark.read.schema(FINGERPRINT_HISTORY).parquet(target).select(*FINGERPRINT_HISTORY.names).drop("ingested_at")
+        start_ingest(history_stream(spark, folder, files_per_batch=2), root, position).awaitTermination()
+    start_ingest(history_stream(spark, folder), root, position).awaitTermination()
+    # A lost position makes the stream deliver everything again.
+    start_ingest(history_stream(spark, folder), root, position + "-new").awaitTermination()
+    got = read_state(spark, root, "fingerprint_history").drop("ingested_at")
     want = to_prints(log).drop("ingested_at")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
