@@ -1,4 +1,4 @@
-"""Run the jobs: ``spark-submit -m tallyframe --mode all --root ... --history ... --billing ...``."""
+"""Run the jobs: ``python -m tallyframe --mode all --root ... --history ... --billing ...``."""
 
 from __future__ import annotations
 

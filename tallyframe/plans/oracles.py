@@ -219,8 +219,8 @@ ORACLES: dict[str, str] = {
     SELECT warehouse_id, statements, own_statements, usage_records
     FROM h LEFT JOIN s USING (warehouse_id) LEFT JOIN b USING (warehouse_id)""",
     "normalized_sql": _H + f" SELECT statement_id, {_NORMALIZE} AS normalized FROM history",
-    "fingerprints": _P + " SELECT statement_id, ck FROM read",
-    "fingerprints_versioned": _P + " SELECT statement_id, ck, 1 AS fp_version FROM read",
+    "fingerprint": _P + " SELECT statement_id, ck FROM read",
+    "fingerprint_versioned": _P + " SELECT statement_id, ck, 1 AS fp_version FROM read",
     "tag_fields": _P
     + """ SELECT statement_id,
            substr(list_filter(tokens, lambda t: starts_with(t, 'v='))[-1], 3) AS v,

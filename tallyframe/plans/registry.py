@@ -39,13 +39,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    """Register under the function's name; the log is read as UTC."""
+    """Register under the function's name, less a final underscore; the log is read as UTC."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.rstrip("_")] = run
     return fn
 
 
@@ -116,12 +116,12 @@ def normalized_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+def fingerprint_(spark: SparkSession, sf: str) -> DataFrame:
     return src.history(spark, sf).select("statement_id", fingerprint(F.col("statement_text")).alias("ck"))
 
 
 @query
-def fingerprints_versioned(spark: SparkSession, sf: str) -> DataFrame:
+def fingerprint_versioned_(spark: SparkSession, sf: str) -> DataFrame:
     return src.history(spark, sf).select("statement_id", *fingerprint_versioned(F.col("statement_text")))
 
 

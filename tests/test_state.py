@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tallyframe import __main__ as main
 from tallyframe.operators import ingest
+from tallyframe.functions import is_gateway_routed
 from tallyframe.operators.cost import warehouse_duration
+from tallyframe.operators.coverage import coverage_daily
+from tallyframe.operators.predicates import finished
 from tallyframe.operators.reports import redundancy_table
 from tallyframe.params import Params
 from tallyframe.plans import jobs
 from tallyframe.schemas import BILLING_USAGE, PARTITIONED_BY, QUERY_HISTORY, STATE
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources import state
+from tallyframe.sources.views import query_history
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +70,18 @@ def test_append_and_partition_pruning(spark, root):
     assert "ReadSchema: struct<warehouse_id:string,total_duration_ms:bigint>" in scan
 
 
+def test_history_scan_is_filtered_and_narrow(spark, tmp_path):
+    path = str(tmp_path / "history")
+    history(spark, [statement(0, datetime(2024, 3, 30))]).write.parquet(path)
+    view = query_history(spark.read.schema(QUERY_HISTORY).parquet(path), data.P)
+    text = plan(coverage_daily(view, data.P))
+    assert "GreaterThanOrEqual(start_time,2024-03-01 00:00:00.0)" in text
+    assert "ReadSchema: struct<start_time:timestamp,statement_text:string>" in text
+    text = plan(finished(view).select("statement_id"))
+    assert "EqualTo(execution_status,FINISHED)" in text
+    assert "StringStartsWith(statement_text,/* abx )" in plan(view.where(is_gateway_routed(F.col("statement_text"))))
+
+
 def daily(spark, days, ratio):
     rows = [(date(2024, 3, d), 1, 2, ratio) for d in days]
     df = spark.createDataFrame(rows, "d date, gateway_routed long, total long, coverage_ratio double")
