@@ -47,6 +47,7 @@ billing AS (
   FROM orders
 )"""
 
+# The patterns of the fingerprint contract, in its order.
 _NORMALIZE = (
     r"regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace("
     r"coalesce(statement_text, ''), '/\*.*?\*/', '', 'gs'), '--[^\n]*', '', 'g')), '\s+', ' ', 'g')),"
@@ -59,7 +60,7 @@ _CK = " || ".join(
     for i in range(16)
 )
 
-# The tag of a statement as a list of key=value tokens, NULL if there is none or one is malformed.
+# Fixed value: the pattern of the tag. It is read as a list of key=value tokens, NULL if there is none or one is malformed.
 _PRINTS = rf"""
 hashed AS (
   SELECT *, sha256({_NORMALIZE}) AS h,
@@ -86,37 +87,48 @@ _B = "WITH " + _BILLING
 _PB = _P + "," + _BILLING
 
 
-def _attributed(name: str, lo: int, hi: int | None = None) -> str:
-    """Statement-level duration share between two ages in days, as CTE ``name``."""
-    until = "" if hi is None else f" AND d <= {AS_OF} - {hi}"
+def _attributed(name: str, lo: int, hi: int = -10_000) -> str:
+    """Duration share statement by statement, for ages from ``lo`` down to ``hi`` days, as CTE ``name``."""
+    days = f"d BETWEEN {AS_OF} - {lo} AND {AS_OF} - ({hi})"
     return f"""
 {name} AS (
-  SELECT f.ck, count(*) AS execs, sum(c.wh_usd * (f.total_duration_ms / nullif(w.tot_ms, 0))) AS attributed_usd
-  FROM prints f
-  JOIN (SELECT d, warehouse_id, sum(CAST(usage_quantity AS DOUBLE)) * 0.70 AS wh_usd FROM billing
-        WHERE d >= {AS_OF} - {lo}{until} AND warehouse_id IS NOT NULL GROUP BY ALL) c USING (d, warehouse_id)
-  JOIN (SELECT d, warehouse_id, sum(total_duration_ms) AS tot_ms FROM prints
-        WHERE d >= {AS_OF} - {lo}{until} GROUP BY ALL) w USING (d, warehouse_id)
-  WHERE f.d >= {AS_OF} - {lo}{until}
-  GROUP BY f.ck
+  WITH timed AS (
+    SELECT ck, d, warehouse_id, total_duration_ms AS ms,
+           sum(total_duration_ms) OVER (PARTITION BY d, warehouse_id) AS day_ms
+    FROM prints WHERE {days}
+  ),
+  priced AS (
+    SELECT d, warehouse_id, 0.70 * sum(CAST(usage_quantity AS DOUBLE)) AS day_usd
+    FROM billing WHERE {days} GROUP BY d, warehouse_id
+  )
+  SELECT ck, count(*) AS execs, sum(CASE WHEN day_ms > 0 THEN ms / day_ms * day_usd END) AS attributed_usd
+  FROM timed JOIN priced USING (d, warehouse_id)
+  GROUP BY ck
 )"""
 
 
 def _effectiveness(name: str = "effect", back: int = 0, exact: bool = False) -> str:
     """The savings comparison as of ``back`` days earlier, as CTE ``name``."""
-    day = lambda n: f"({AS_OF} - {n + back})"
-    expected = "b.n" if exact else "b.rate * 30"
+
+    def day(ago: int) -> str:
+        return f"({AS_OF} - {ago + back})"
+
+    expected = "n" if exact else "30 * CAST(n / 30.0 AS DECIMAL(27, 6))"
     return f"""{_attributed(name + "_cost", 30 + back)},
 {name} AS (
-  SELECT b.ck, b.rule_id, strftime({day(30)}, '%Y-%m-%d') || '/' || strftime({day(0)}, '%Y-%m-%d') AS "window",
-         b.rate AS baseline_rate, c.observed,
-         CAST(greatest(0, trunc({expected} - c.observed)) AS BIGINT) AS avoided,
-         CAST(greatest(0, {expected} - c.observed) AS DOUBLE)
-           * coalesce(a.attributed_usd / nullif(a.execs, 0), 0) AS realized_usd
-  FROM (SELECT ck, rule_id, count(*) AS n, CAST(count(*) / 30.0 AS DECIMAL(27, 6)) AS rate FROM prints
-        WHERE d BETWEEN {day(60)} AND {day(31)} GROUP BY ck, rule_id) b
-  JOIN (SELECT ck, count(*) AS observed FROM prints WHERE d >= {day(30)} GROUP BY ck) c USING (ck)
-  LEFT JOIN {name}_cost a USING (ck)
+  WITH before AS (
+    SELECT ck, rule_id, count(*) AS n FROM prints WHERE d >= {day(60)} AND d < {day(30)} GROUP BY ck, rule_id
+  ),
+  after AS (
+    SELECT ck, count(*) AS observed FROM prints WHERE d >= {day(30)} GROUP BY ck
+  ),
+  compared AS (
+    SELECT *, greatest({expected} - observed, 0) AS gap FROM before JOIN after USING (ck)
+  )
+  SELECT ck, rule_id, strftime({day(30)}, '%Y-%m-%d') || '/' || strftime({day(0)}, '%Y-%m-%d') AS "window",
+         CAST(n / 30.0 AS DECIMAL(27, 6)) AS baseline_rate, observed, CAST(trunc(gap) AS BIGINT) AS avoided,
+         CASE WHEN attributed_usd IS NULL THEN 0 ELSE CAST(gap AS DOUBLE) * attributed_usd / execs END AS realized_usd
+  FROM compared LEFT JOIN {name}_cost USING (ck)
 )"""
 
 

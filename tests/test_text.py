@@ -49,15 +49,14 @@ GOLDEN = [
 
 # Texts that must share a fingerprint.
 SAME = [
-    ("select id, name from users where id = 1", "SELECT id, name FROM users WHERE id = 1"),
-    ("SELECT   id,  name   FROM   users  WHERE  id  =  1", "SELECT id, name FROM users WHERE id = 1"),
-    ("SELECT * FROM orders WHERE status = 'pending'", "SELECT * FROM orders WHERE status = 'completed'"),
-    ("SELECT * FROM orders WHERE amount > 100", "SELECT * FROM orders WHERE amount > 999"),
-    ("/* abx v=1 ck=abc123 rule=r1 route=cache_miss */ SELECT * FROM t WHERE id = 1", "SELECT * FROM t WHERE id = 1"),
-    ("SELECT * FROM t -- this is a comment\nWHERE id = 1", "SELECT * FROM t WHERE id = 1"),
-    ("Select * From T Where Id = 1", "SELECT * FROM t WHERE id = 1"),
-    ("SELECT * FROM t WHERE a = 'foo' AND b = 'bar'", "SELECT * FROM t WHERE a = 'baz' AND b = 'qux'"),
-    ("SELECT * FROM t WHERE x BETWEEN 10 AND 20", "SELECT * FROM t WHERE x BETWEEN 99 AND 999"),
+    ("SELECT city FROM shops WHERE id = 7", "Select City From Shops Where Id = 7"),
+    ("SELECT city FROM shops WHERE id = 7", "  SELECT\n\tcity\r\nFROM   shops\u00a0WHERE id  =  7 "),
+    ("SELECT city FROM shops WHERE id = 7", "SELECT city FROM shops WHERE id = 70.25"),
+    ("SELECT city FROM shops WHERE kind = 'book'", "SELECT city FROM shops WHERE kind = 'caf\u00e9 -_-'"),
+    ("UPDATE shops SET a = 'x', b = 'y'", "update shops set a = '', b = 'it\\'s'"),
+    ("SELECT 1 FROM shops LIMIT 5, 6", "SELECT 2 FROM shops LIMIT 77, 888"),
+    ("SELECT city FROM shops", "/* abx v=1 ck=q rule=r9 route=bypass */ SELECT /* all */ city FROM shops"),
+    ("SELECT city FROM shops", "SELECT city -- name\nFROM shops -- end"),
 ]
 
 PIECES = (
