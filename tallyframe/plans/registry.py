@@ -218,7 +218,7 @@ def ingest_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 def fingerprint_history_table(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends to the partitioned state table, read back."""
     root = new_folder(spark, "state")
-    state.create_state(spark, root)
+    state.create_state(spark, root, ["fingerprint_history"])
     loaded = _loaded(spark, sf)
     state.append(loaded, root, "fingerprint_history")
     stored = state.read_state(spark, root, "fingerprint_history")
@@ -231,7 +231,7 @@ def fingerprint_history_table(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a stream into the state table, read back."""
     root = new_folder(spark, "stream-state")
-    state.create_state(spark, root)
+    state.create_state(spark, root, ["fingerprint_history"])
     log = src.history_from_events(_event_stream(spark, sf))
     start_ingest(log, root, new_folder(spark, "stream-position")).awaitTermination()
     return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
@@ -443,7 +443,7 @@ def rules_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def rules_table(spark: SparkSession, sf: str) -> DataFrame:
     """The rules table after two snapshots."""
     root = new_folder(spark, "state")
-    state.create_state(spark, root)
+    state.create_state(spark, root, ["rules"])
     state.write_rules(src.rules(spark, sf), root, src.midnight(1))
     merged = rules.upsert_rules(state.read_state(spark, root, "rules"), src.incoming_rules(spark, sf))
     state.write_rules(merged, root, src.midnight(2))

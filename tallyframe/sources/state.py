@@ -6,6 +6,7 @@ few files, while a day larger than the advisory partition size is split over sev
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 
 from tallyframe.schemas import PARTITIONED_BY, RULES, STATE, SYNC_LOG
 
+# The rules table keeps every version of itself as a partition.
+RULE_SNAPSHOTS = T.StructType([*RULES.fields, T.StructField("snapshot", T.LongType())])
+
 
 def state_path(root: str, table: str) -> str:
     return f"{root}/{table}"
@@ -41,15 +45,14 @@ def _writer(df: DataFrame, table: str, mode: str):
     return writer.partitionBy(key) if key else writer
 
 
-def create_state(spark: SparkSession, root: str) -> None:
+def create_state(spark: SparkSession, root: str, tables: Iterable[str] = tuple(STATE)) -> None:
     """Create the tables that do not exist yet, empty."""
-    for table, schema in STATE.items():
+    for table in tables:
+        schema, key = STATE[table], PARTITIONED_BY.get(table)
         if table == "rules":
-            continue
-        empty = spark.createDataFrame([], schema)
-        _writer(empty, table, "ignore").parquet(state_path(root, table))
-    empty = spark.createDataFrame([], RULES).withColumn("snapshot", F.lit(0).cast("long"))
-    empty.write.mode("ignore").partitionBy("snapshot").parquet(state_path(root, "rules"))
+            schema, key = RULE_SNAPSHOTS, "snapshot"
+        writer = spark.createDataFrame([], schema).write.mode("ignore")
+        (writer.partitionBy(key) if key else writer).parquet(state_path(root, table))
 
 
 def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -75,14 +78,9 @@ def overwrite(df: DataFrame, root: str, table: str, keep_other_days: bool = True
     )
 
 
-def _rule_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    schema = T.StructType([*RULES.fields, T.StructField("snapshot", T.LongType())])
-    return spark.read.schema(schema).parquet(state_path(root, "rules"))
-
-
 def _read_rules(spark: SparkSession, root: str) -> DataFrame:
     """The newest snapshot. Its number is fetched first, so the others are pruned."""
-    snapshots = _rule_snapshots(spark, root)
+    snapshots = spark.read.schema(RULE_SNAPSHOTS).parquet(state_path(root, "rules"))
     newest = snapshots.agg(F.max("snapshot")).first()[0]
     return snapshots.where(F.col("snapshot") == F.lit(newest or 0)).select(*RULES.names)
 
