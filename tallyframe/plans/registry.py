@@ -140,7 +140,7 @@ def tag_fields(spark: SparkSession, sf: str) -> DataFrame:
         F.col("tag.ck").alias("ck"),
         F.col("tag.rule").alias("rule_id"),
         F.col("tag.route").alias("route"),
-        F.size("tag").alias("fields"),
+        F.array_size(F.map_keys("tag")).alias("fields"),
     )
 
 
