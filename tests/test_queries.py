@@ -5,9 +5,10 @@ import oracle_py
 import pytest
 
 import __spark_entry__ as contract
+from tallyframe.plans.oracles import ORACLES
+from tallyframe.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
