@@ -42,6 +42,51 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN words USING (page_id)
 """
 
+_words_of = (
+    "regexp_extract_all(" + LOWER_AZ.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLES["op3_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_words_of} AS w FROM benchmark),
+docs AS (SELECT doc_id, {_words_of} AS w FROM documents),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS run
+  FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS run
+  FROM docs, (SELECT DISTINCT k FROM windows) ks, unnest(range(1, len(w) - k + 2)) t(i)
+), found AS (SELECT DISTINCT doc_id, item_id, k, i FROM places JOIN windows USING (k, run)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + k)) t(p) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+_plain_words = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLES["op8_substring_dedup"] = f"""
+WITH docs AS (SELECT doc_id, {_plain_words} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS run
+  FROM docs, unnest(range(1, len(w) - 11)) t(i)
+),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS low FROM windows) WHERE low < doc_id
+),
+removed AS (SELECT doc_id, list(DISTINCT p) AS gone FROM repeated, unnest(range(i, i + 13)) t(p) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, array_to_string(list(w[p] ORDER BY p), ' ') AS kept
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM docs)
+  ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM removed) USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_lower_words = "regexp_extract_all(" + LOWER_AZ.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
 ORACLES["op10_exact_dedup"] = f"""
 WITH folded AS (SELECT doc_id, {LOWER_AZ.format("coalesce(text, '')")} AS content FROM documents),
 groups AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM folded GROUP BY content)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat_format, exact_dedup, url_filter
+from tallyframe.llm import chat_format, decontaminate, exact_dedup, simhash_covering, substring_dedup, url_filter
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
@@ -93,6 +106,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_format.format_segments(said, template), template)
 
 
+@query
+def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_covering.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
