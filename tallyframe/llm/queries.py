@@ -9,7 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat_format, decontaminate, exact_dedup, simhash_covering, substring_dedup, url_filter
+from tallyframe.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    quality_crf,
+    simhash_covering,
+    substring_dedup,
+    url_filter,
+)
 from tallyframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +31,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
