@@ -14,6 +14,8 @@ from tallyframe.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    packing,
+    pii_feistel,
     quality_crf,
     simhash_covering,
     substring_dedup,
@@ -130,12 +132,26 @@ def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_covering.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), buckets=16, budget=32768)
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+# A fixed key keeps the test results comparable; a production run passes a secret one.
+PII_KEY = "tallyframe test key"
+
+
+@query
+def op9_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
