@@ -25,6 +25,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Equality of the named columns of two frames; null equals null."""
     return reduce(and_, (left[n].eqNullSafe(right[n]) for n in names))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import fresh, stored
 
 WINDOW = 13
 # Windows of one automaton, in bytes of text; a larger benchmark is scanned in blocks.
@@ -181,5 +181,6 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that ``decontaminate`` does not mark, with all their columns."""
-    marked = docs.withColumn("_hit", hits(text_col, items, window=window))
-    return marked.where("NOT _hit.contaminated").drop("_hit")
+    name = fresh(docs, "hit")
+    marked = docs.withColumn(name, hits(text_col, items, window=window))
+    return marked.where(~F.col(name)["contaminated"]).drop(name)

@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tallyframe.llm.common import same, stored
+from tallyframe.llm.common import fresh, same, stored
 
 SALTS = 32
 
@@ -25,13 +26,13 @@ def _fold(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(texts, ""))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def folded(texts: pa.Array) -> pa.Array:
     """The text with A-Z in lower case and nothing else changed; null counts as empty."""
     return _fold(texts)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def folded_sha256(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in _fold(texts)], pa.string())
 
@@ -98,13 +99,15 @@ def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Of rows that repeat both id and text one stays.
     """
+    kept_id, digest = fresh(docs, "kept_id"), fresh(docs, "digest")
     verdict = exact_dedup(docs, id_col, text_col, salts).select(
-        F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_digest"), "kept"
+        F.col(id_col).alias(kept_id), F.col("text_sha256").alias(digest), F.col("kept").alias("_stays")
     )
-    verdict = stored(verdict.groupBy("_kept_id", "_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "verdict")
-    marked = docs.withColumns({"_kept_id": F.col(id_col), "_digest": folded_sha256(text_col)})
-    dropped = verdict.where("NOT kept")
-    rest = marked.join(dropped, same(marked, dropped, ["_kept_id", "_digest"]), "left_anti")
-    if not verdict.where("kept AND n > 1").isEmpty():
-        rest = rest.dropDuplicates(["_kept_id", "_digest"])
-    return rest.select(*[rest[f"`{c}`"] for c in docs.columns])
+    verdict = verdict.groupBy(kept_id, digest).agg(F.max("_stays").alias("_stays"), F.count("*").alias("_rows"))
+    verdict = stored(verdict, "verdict")
+    marked = docs.withColumns({kept_id: F.col(id_col), digest: folded_sha256(F.col(text_col).cast("string"))})
+    dropped = verdict.where("NOT _stays").select(kept_id, digest)
+    rest = marked.join(dropped, same(marked, dropped, [kept_id, digest]), "left_anti")
+    if not verdict.where("_stays AND _rows > 1").isEmpty():
+        rest = rest.dropDuplicates([kept_id, digest])
+    return rest.drop(kept_id, digest)

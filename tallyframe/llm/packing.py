@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from tallyframe.llm.common import stored
@@ -23,7 +24,7 @@ PER_OCTAVE = 128
 CHUNK_BATCHES = 64
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_tokens(texts: pa.Array) -> pa.Array:
     """Words between ASCII white space and one end mark; null counts as empty."""
     return pa.array([len(t.as_buffer().to_pybytes().split()) + 1 for t in pc.fill_null(texts, "")], pa.int64())

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import fresh
 from tallyframe.llm.html_extract import STOP_WORDS
 
 # Bounds of the training sample: documents, and lines of one document.
@@ -329,5 +330,6 @@ def classify(
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns."""
     model = train(docs, labels, text_col=text_col)
-    marked = docs.withColumn("_score", scores(model, text_col))
-    return marked.where(F.col("_score") >= threshold).drop("_score")
+    name = fresh(docs, "score")
+    marked = docs.withColumn(name, scores(model, text_col))
+    return marked.where(F.col(name) >= threshold).drop(name)

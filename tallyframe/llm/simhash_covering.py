@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import fresh, same, stored
 
 SHINGLE = 3
 RADIUS = 2
@@ -180,12 +180,14 @@ def keep_first(
 
     Of rows that repeat an id one stays. A component without any id keeps its rows.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias("_id"), "component_id")
+    name = fresh(docs, "component_of")
+    found = near_duplicates(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias(name), "component_id")
     found = stored(found, "components")
-    dropped = found.where("NOT (_id <=> component_id)").select("_id").distinct()
-    marked = docs.withColumn("_id", F.col(id_col))
-    rest = marked.join(dropped, marked["_id"].eqNullSafe(dropped["_id"]), "left_anti")
-    if not found.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").isEmpty():
-        named = rest.where("_id IS NOT NULL").dropDuplicates(["_id"])
-        rest = named.unionByName(rest.where("_id IS NULL"))
-    return rest.drop("_id")
+    stays = F.col(name).eqNullSafe(F.col("component_id"))
+    dropped = found.where(~stays).select(name).distinct()
+    marked = docs.withColumn(name, F.col(id_col))
+    rest = marked.join(dropped, same(marked, dropped, [name]), "left_anti")
+    if not found.where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").isEmpty():
+        named = rest.where(F.col(name).isNotNull()).dropDuplicates([name])
+        rest = named.unionByName(rest.where(F.col(name).isNull()))
+    return rest.drop(name)
