@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +41,7 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset(
     "aside audio button canvas dialog footer form head header menu nav noscript object optgroup option search select svg "
     "template video".split()
@@ -63,11 +65,9 @@ SIBLINGS = {
     "td": frozenset(["table", "tr"]),
     "th": frozenset(["table", "tr"]),
 }
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
-    r"""|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""",
-    re.DOTALL,
-)
+TAG = re.compile(r"""<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+LOOSE_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
+NOT_P = BLOCKS - {"p"}
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,6 +88,7 @@ class Block:
     """Text between two block boundaries, and the article it stands in (0: none)."""
 
     article: int
+    heading: bool = False
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
@@ -110,28 +111,60 @@ def _left_out(name: str, attrs: str) -> bool:
     return not words.isdisjoint(COMMENT_MARKS if name in ("article", "main") else MARKS)
 
 
+def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The text before each tag, and the tag; at last the text after all tags with None.
+
+    Comments and declarations end a text but are no tags. A quote that is never closed ends with its tag. What
+    begins like a tag and has no end is dropped with all that follows.
+    """
+    start = at = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield page[start:at], None
+            start = at = end + 3 if end >= 0 else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?") or page.startswith("</", at) and not page[at + 2 : at + 3].isalpha():
+            end = page.find(">", at)
+            yield page[start:at], None
+            start = at = end + 1 if end >= 0 else len(page)
+        elif not re.match(r"</?[a-zA-Z]", page[at : at + 3]):
+            at += 1
+        else:
+            tag = TAG.match(page, at) or LOOSE_TAG.match(page, at)
+            yield page[start:at], tag
+            if not tag:
+                return
+            start = at = tag.end()
+            if tag["name"].lower() in RAW and not tag["end"] and not tag["attrs"].rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag['name'])}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+                start = at = end.end() if end else len(page)
+    yield page[start:], None
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page outside of what its markup leaves out, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # name, left out, article
-    dropped = articles = 0
-    links = 0
+    is_open: Counter[str] = Counter()
+    dropped = articles = links = 0
     now = Block(0)
 
-    def flush(article: int) -> None:
+    def flush(article: int, heading: bool = False) -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(article)
+        now = Block(article, heading)
 
     def pop_to(i: int) -> None:
         nonlocal dropped
         while len(stack) > i:
-            dropped -= stack.pop()[1]
+            name, left_out, _ = stack.pop()
+            is_open[name] -= 1
+            dropped -= left_out
 
     def open_above(name: str, limit: frozenset[str]) -> int:
         """Where ``name`` is open, looking down to the first of ``limit``; -1 if it isn't."""
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if is_open[name] else ():
             if stack[i][0] == name:
                 return i
             if stack[i][0] in limit:
@@ -145,18 +178,13 @@ def blocks(page: str) -> list[Block]:
             if links > 0:
                 now.link_chars += len("".join(text.split()))
 
-    at = 0
-    while True:
-        token = TOKEN.search(page, at)
-        add(page[at : token.start()] if token else page[at:])
-        if not token:
-            break
-        at = token.end()
-        if not token["name"]:
+    for text, tag in _tags(page):
+        add(text)
+        if not tag:
             continue
-        name = token["name"].lower()
+        name = tag["name"].lower()
         is_block = name in BLOCKS
-        if token["end"]:
+        if tag["end"]:
             i = open_above(name, frozenset() if is_block else BLOCKS)
             if i >= 0:
                 pop_to(i)
@@ -173,7 +201,7 @@ def blocks(page: str) -> list[Block]:
         if is_block:
             if name == "body":
                 pop_to(0)
-            i = open_above("p", BLOCKS - {"p"})
+            i = open_above("p", NOT_P)
             if i >= 0:
                 pop_to(i)
             if name in SIBLINGS and (i := open_above(name, SIBLINGS[name])) >= 0:
@@ -184,18 +212,15 @@ def blocks(page: str) -> list[Block]:
                 articles += 1
                 # An article inside ``main`` counts, not what stands around it there.
                 article = articles if name == "article" else -articles
-            flush(article)
-        if name in RAW and not token["attrs"].rstrip().endswith("/"):
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if name in VOID:
+            flush(article, name in HEADINGS)
+        if name in VOID or name in RAW:
             continue
         if name == "a":
             links = 1
-        out_of_text = _left_out(name, token["attrs"])
+        out_of_text = _left_out(name, tag["attrs"])
         dropped += out_of_text
         stack.append((name, out_of_text, article))
+        is_open[name] += 1
     flush(0)
     for block in out:
         block.text = " ".join("".join(block.parts).split())
@@ -221,7 +246,10 @@ def classify(block: Block, rules: Rules) -> str:
 
 
 def inherit(section: list[Block]) -> None:
-    """Second pass: blocks that are near or open take the side of the nearest decided neighbours."""
+    """Second pass: blocks that are near or open take the side of the nearest decided neighbours.
+
+    A heading belongs to what follows it, and at an end of an article one neighbour is not enough to leave a block out.
+    """
     n = len(section)
     decided = [b.verdict if b.verdict in ("good", "bad") else "" for b in section]
     before, after = [-1] * n, [n] * n
@@ -237,8 +265,12 @@ def inherit(section: list[Block]) -> None:
         right = decided[after[i]] if after[i] < n else ""
         if block.verdict == "near":
             block.verdict = "good" if block.article or "good" in (left, right) or not (left or right) else "bad"
-        elif left == right or not (left and right):
-            block.verdict = left or right or default
+        elif not left or not right:
+            block.verdict = default if block.article else left or right or default
+        elif left == right:
+            block.verdict = left
+        elif block.heading:
+            block.verdict = right
         else:
             nearer = (i - before[i]) - (after[i] - i)
             block.verdict = left if nearer < 0 else right if nearer > 0 else default

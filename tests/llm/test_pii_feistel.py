@@ -1,0 +1,125 @@
+import datetime
+import hashlib
+import itertools
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.llm.pii_feistel import permuted, pseudonymise
+
+KEY = "test"
+
+
+def network(row, kind, key=KEY, rounds=8):
+    """The same network on (value, size) pairs."""
+    half = len(row) // 2
+    left, right = list(row[:half]), list(row[half:])
+
+    def mixed(part, other, r):
+        salt = f"{key}|{kind}|{len(row)}|{r}|" + ",".join(str(v) for v, _ in other)
+        out = []
+        for i, (v, m) in enumerate(part):
+            number = int(hashlib.sha256(f"{salt}|{i}".encode()).hexdigest()[:12], 16)
+            out.append(((v + number) % m, m))
+        return out
+
+    for r in range(rounds):
+        if r % 2 == 0:
+            right = mixed(right, left, r)
+        else:
+            left = mixed(left, right, r)
+    return [v for v, _ in left + right]
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def rewrite(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    return {r.doc_id: r for r in pseudonymise(docs.repartition(3), KEY).collect()}
+
+
+def test_network_equals_brute_force_and_is_a_permutation(spark):
+    sizes = (3, 4, 5)
+    rows = list(itertools.product(*map(range, sizes)))
+    frame = spark.createDataFrame([([(v, m) for v, m in zip(r, sizes)],) for r in rows], "row array<struct<v:bigint,m:bigint>>")
+    got = frame.select("row", permuted(F.col("row"), F.lit("toy"), KEY).alias("out")).collect()
+    images = [tuple(s.v for s in r.out) for r in got]
+    assert images == [tuple(network([(s.v, s.m) for s in r["row"]], "toy")) for r in got]
+    assert sorted(images) == sorted(rows)
+
+
+def test_formats_and_links(spark):
+    texts = [
+        "Write to Bob.42@mail8.example.com or bob.42@MAIL.example.com.",
+        "Card 4041894974608795, again 4041 8949 7460 8795; not 4041894974608796.",
+        "+1 (988) 555-2485 / 988-555-2485 / 1 988 555 2485 / +19885552485 / +49 30 1234567",
+        "70.123.182.155 but not 1.2.3.4.5 nor 300.1.1.1",
+        "2024-02-29 = 29.02.2024 = 02/29/2024, not 2023-02-29 or 13/31/2024",
+        "DE89 3704 0044 0532 0130 00 DE89370400440532013000 not DE88370400440532013000",
+        "123-45-6789 not 666-12-1234, 000-12-1234, 900-12-1234, 123-00-1234",
+    ]
+    got = rewrite(spark, texts)
+    mails = re.findall(r"\S+@\S+[a-z]", got[0].text)
+    assert mails[0].endswith("@mail8.example.com") and mails[0].split("@")[0].lower() == mails[1].split("@")[0]
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.\d\d", mails[0].split("@")[0]) and mails[0] not in texts[0]
+    cards = re.findall(r"\d[\d ]{14,18}\d", got[1].text)
+    assert cards[0] == cards[1].replace(" ", "") and luhn(cards[0]) and cards[2] == "4041894974608796"
+    own = [re.sub(r"\D", "", p)[-10:] for p in got[2].text.split(" / ")[:4]]
+    assert len(set(own)) == 1 and own[0] != "9885552485" and re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", own[0])
+    assert re.fullmatch(r"\+49 \d\d \d{7}", got[2].text.split(" / ")[4])
+    assert got[3].text.endswith("but not 1.2.3.4.5 nor 300.1.1.1")
+    octets = [int(o) for o in got[3].text.split(" ")[0].split(".")]
+    assert octets == network([(o, 256) for o in (70, 123, 182, 155)], "ipv4")
+    days = re.match(r"(\S+) = (\S+) = (\S+),(.*)", got[4].text)
+    day = datetime.date.fromisoformat(days[1])
+    assert (days[2], days[3]) == (f"{day:%d.%m.%Y}", f"{day:%m/%d/%Y}") and days[4] == " not 2023-02-29 or 13/31/2024"
+    accounts = re.match(r"(.{27}) (.{22}) not DE88370400440532013000$", got[5].text)
+    assert accounts[1].replace(" ", "") == accounts[2] and mod97(accounts[2]) == 1 and accounts[2].startswith("DE")
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4} not 666-12-1234, 000-12-1234, 900-12-1234, 123-00-1234", got[6].text)
+    assert [got[i].n_values for i in range(7)] == [2, 2, 5, 1, 3, 2, 1]
+    assert [got[i].kinds for i in (0, 2, 4)] == ["email", "nanp,phone", "dotted_date,iso_date,slashed_date"]
+
+
+def test_different_values_stay_different(spark):
+    values = [f"10.0.{i // 256}.{i % 256}" for i in range(3000)]
+    got = rewrite(spark, [" ".join(values)])[0]
+    assert len(set(got.text.split(" "))) == got.n_values == 3000
+    days = [(datetime.date(1990, 1, 1) + datetime.timedelta(n)).isoformat() for n in range(2000)]
+    moved = rewrite(spark, [" ".join(days)])[0].text.split(" ")
+    assert len(set(moved)) == 2000 and all("1700" <= d[:4] <= "2099" for d in moved)
+
+
+def test_another_key_gives_other_values(spark):
+    docs = spark.createDataFrame([(1, "call 988-555-2485")], "doc_id long, text string")
+    assert pseudonymise(docs, "a").first().text != pseudonymise(docs, "b").first().text
+
+
+def test_nothing_else_changes(spark, hard, documents):
+    rows = {r.doc_id: r for r in pseudonymise(hard.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), KEY).collect()}
+    for r in hard.where("doc_id IS NOT NULL").collect():
+        assert (rows[r.doc_id].text, rows[r.doc_id].n_values, rows[r.doc_id].kinds) == (r.text, 0, "")
+    before = {r.doc_id: r.text for r in documents.collect()}
+    for r in pseudonymise(documents, KEY).collect():
+        if not r.n_values:
+            assert r.text == before[r.doc_id]
+        assert not set(re.findall(r"[\w.]+@[\w.]+|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b", before[r.doc_id])) & set(re.findall(r"\S+", r.text))
+
+
+def test_no_python_in_the_plan(spark, documents):
+    plan = pseudonymise(documents, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Exchange", plan)
+
+
+@pytest.mark.parametrize("unit", ["1", "1 ", "a.", "a@", "1.", "+1 ", "(1", "DE12 ", "1-"])
+def test_hostile_texts(spark, unit):
+    text = unit * 50000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(pseudonymise(docs, KEY).first().text) == len(text)

@@ -1,0 +1,44 @@
+import pytest
+
+from tallyframe.llm.url_filter import Vocabulary, terms_in, url_filter
+
+CASES = [
+    ("http://a.example.net/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"),
+    ("http://a.example.net/de/1", "a.example.net", "/de/1", "net/", "block"),
+    ("http://NET/x", "net", "/x", "net/", "block"),
+    ("http://a.net", "a.net", "", None, "allow"),
+    ("http://a.net?x=1", "a.net", "", None, "allow"),
+    ("https://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
+    ("https://x.example.com/de/", "x.example.com", "/de/", "example.com/de/", "block"),
+    ("https://casino-win.example.org/fr/", "casino-win.example.org", "/fr/", "org/fr/", "allow"),
+    ("https://casino-win.example.org/en/", "casino-win.example.org", "/en/", None, "block"),
+    ("https://ads-track.example.com/en/", "ads-track.example.com", "/en/", None, "block"),
+    ("https://ads-ads.example.com/en/", "ads-ads.example.com", "/en/", None, "allow"),
+    ("https://essex.example.com/casinos/bets", "essex.example.com", "/casinos/bets", None, "allow"),
+    ("HTTP://X.COM/A?b://c#d", "x.com", "/A", None, "allow"),
+    ("//casino/", "", "", None, "block"),
+    ("", "", "", None, "allow"),
+    (None, "", "", None, "allow"),
+    ("a://", "", "", None, "allow"),
+    ("a://ÄB.net/É", "Äb.net", "/É", "net/", "block"),
+    ("http://x.net/#f", "x.net", "/", "net/", "block"),
+    ("http://" + "y" * 100000 + ".com/porn", "y" * 100000 + ".com", "/porn", None, "block"),
+]
+
+
+def test_cases(spark):
+    rows = [(i, c[0], "x", "y") for i, c in enumerate(CASES)] + [(None, "http://a.net/", "x", "y")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string").repartition(3)
+    got = url_filter(pages).collect()
+    assert len(got) == len(rows)
+    by_id = {r.page_id: r for r in got}
+    for i, (url, *want) in enumerate(CASES):
+        r = by_id[i]
+        assert [r.host, r.path, r.rule, r.verdict] == want, url
+    assert [r.verdict for r in got if r.page_id is None] == ["block", "block"]
+
+
+@pytest.mark.parametrize("text, found", [("win", ["win"]), ("win win", ["win"]), ("winé win", ["win"]), ("winé", []), ("", [])])
+def test_boundaries(text, found):
+    assert sorted(terms_in(Vocabulary().automaton(), text)) == found
+    assert terms_in(Vocabulary(weights={}).automaton(), text) == {}
