@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import is_gateway_routed
+from tallyframe.functions import is_gateway_routed, utc_day, utc_midnight
 from tallyframe.params import Params
 
 
@@ -25,8 +25,8 @@ def coverage_ratio() -> Column:
 def coverage_daily(history: DataFrame, params: Params) -> DataFrame:
     """Routed and total statements per day; statements of every status count."""
     return (
-        history.where(F.col("start_time") >= params.since.cast("timestamp"))
-        .groupBy(F.to_date("start_time").alias("d"))
+        history.where(F.col("start_time") >= utc_midnight(params.ago(params.lookback)))
+        .groupBy(utc_day("start_time").alias("d"))
         .agg(*coverage_counts())
         .select("d", "gateway_routed", "total", coverage_ratio())
     )

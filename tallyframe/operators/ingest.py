@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fingerprint, tag_tokens, to_second, token_value
+from tallyframe.functions import fingerprint, tag_tokens, to_second, token_value, utc_day, utc_midnight
 from tallyframe.operators.predicates import finished, since
 from tallyframe.schemas import FINGERPRINT_HISTORY
 
@@ -16,7 +17,7 @@ FIRST_LOAD_DAYS = 90
 
 
 def first_load_from(as_of: date, days: int = FIRST_LOAD_DAYS) -> Column:
-    return F.lit(as_of - timedelta(days=days)).cast("timestamp")
+    return utc_midnight(as_of - timedelta(days=days))
 
 
 def checkpoint(prints: DataFrame, default: Column) -> DataFrame:
@@ -25,19 +26,19 @@ def checkpoint(prints: DataFrame, default: Column) -> DataFrame:
 
 
 def to_prints(history: DataFrame, ingested_at: Column | None = None, whole_seconds: bool = False) -> DataFrame:
-    """Fingerprint rows of the finished statements that have a start time: no shuffle.
+    """Fingerprint rows of the finished statements that have an id and a start time: no shuffle.
 
-    ``whole_seconds`` cuts the start time to seconds, as a log loaded through formatted strings has it.
+    A statement without an id can't be told from its copies; ``unnamed`` counts these.     ``whole_seconds`` cuts the start time to seconds, as a log loaded through formatted strings has it.
     """
     start = to_second(F.col("start_time")) if whole_seconds else F.col("start_time")
     return (
         finished(history)
-        .where(F.col("start_time").isNotNull())
+        .where("start_time IS NOT NULL AND statement_id IS NOT NULL")
         .withColumn("_tokens", tag_tokens(F.col("statement_text")))
         .select(
             fingerprint(F.col("statement_text")).alias("ck"),
             "statement_id",
-            F.to_date("start_time").alias("d"),
+            utc_day("start_time").alias("d"),
             start.alias("start_time"),
             "warehouse_id",
             "total_duration_ms",
@@ -48,6 +49,12 @@ def to_prints(history: DataFrame, ingested_at: Column | None = None, whole_secon
     )
 
 
+def unnamed(history: DataFrame) -> DataFrame:
+    """One row: finished statements that an ingest leaves out, as they have no id or no start time."""
+    left_out = F.count_if(F.col("statement_id").isNull() | F.col("start_time").isNull())
+    return finished(history).agg(left_out.alias("left_out"))
+
+
 def ingest_batch(
     history: DataFrame,
     position: datetime | Column,
@@ -69,14 +76,32 @@ def unique_statements(prints: DataFrame) -> DataFrame:
     return kept.select(*[c if c == "statement_id" else f"r.{c}" for c in FINGERPRINT_HISTORY.names])
 
 
-def dedupe(new: DataFrame, prints: DataFrame, from_day: date | None = None) -> DataFrame:
+def dedupe(new: DataFrame, prints: DataFrame, days: Iterable[date] | None = None) -> DataFrame:
     """Rows of ``new`` whose statement is not in ``prints`` yet, one per statement.
 
-    The start time of a statement never changes, so the known statements are looked up only in the
-    partitions the batch can fall into, from ``from_day`` on. Both sides are narrow and unique per
-    key: the text was dropped before, and no key can be hot.
+    The start time of a statement never changes, so known statements are looked up only in the
+    partitions of the ``days`` that occur in the batch. Both sides are narrow and unique per key: the
+    text was dropped before, and no key can be hot.
     """
-    known = prints if from_day is None else prints.where(F.col("d") >= F.lit(from_day))
-    return unique_statements(new).join(known.select("statement_id"), "statement_id", "left_anti").select(
+    known = prints if days is None else prints.where(F.col("d").isin(*days))
+    return unique_statements(new).join(known.select("d", "statement_id"), ["d", "statement_id"], "left_anti").select(
         *FINGERPRINT_HISTORY.names
     )
+
+
+def days_with_news(history: DataFrame, prints: DataFrame) -> list[date]:
+    """The days on which ``history`` has finished statements that ``prints`` lacks, by ids alone.
+
+    At most one date per day of the history is returned; statement texts are not read.
+    """
+    seen = finished(history).where("start_time IS NOT NULL AND statement_id IS NOT NULL")
+    seen = seen.select(utc_day("start_time").alias("d"), "statement_id")
+    missing = seen.join(prints.select("d", "statement_id"), ["d", "statement_id"], "left_anti")
+    return sorted(r.d for r in missing.select("d").distinct().collect())
+
+
+def of_days(history: DataFrame, days: list[date]) -> DataFrame:
+    """The statements of these days; the range of the days reaches the scan."""
+    start = F.col("start_time")
+    span = (start >= utc_midnight(min(days))) & (start < utc_midnight(max(days) + timedelta(days=1)))
+    return history.where(span & utc_day("start_time").isin(*days))

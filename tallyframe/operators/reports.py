@@ -70,9 +70,10 @@ def redundant_top(prints: DataFrame, params: Params, rows: int = TOP_ROWS) -> Da
     return redundancy_table(prints, params).orderBy(F.desc("execs"), "ck").limit(rows)
 
 
-def redundant_count(top: DataFrame) -> DataFrame:
-    """Rows the redundancy screen shows."""
-    return top.agg(F.count("*").alias("redundant_fingerprints"))
+def redundant_count(table: DataFrame, rows: int = TOP_ROWS) -> DataFrame:
+    """How many fingerprints are redundant, and how many of them the screen shows."""
+    counted = table.agg(F.count("*").alias("redundant_fingerprints"))
+    return counted.withColumn("rows_shown", F.least("redundant_fingerprints", F.lit(rows).cast("long")))
 
 
 def spend_by_sku(waterfall: DataFrame, params: Params) -> DataFrame:
@@ -100,20 +101,26 @@ def savings_kpis(waterfall: DataFrame, effectiveness: DataFrame, params: Params)
 
 
 def rule_attribution(effectiveness: DataFrame, rules: DataFrame) -> DataFrame:
-    """Effectiveness with rule descriptions, largest savings first; unmatched rules are kept."""
+    """Effectiveness with rule descriptions, largest savings first; unmatched rules are kept.
+
+    Most savings are zero; fingerprint and rule order these, so the sort can split them.
+    """
     described = spread_join(
         effectiveness, rules.select("rule_id", "description"), ["rule_id"], F.col("ck"), "left"
     )
-    return described.select(
+    in_order = described.withColumn("realized_usd", F.round("realized_usd", 2)).orderBy(
+        F.desc_nulls_last("realized_usd"), "ck", "rule_id"
+    )
+    return in_order.select(
         "rule_id",
         "description",
         "window",
         "baseline_rate",
         "observed",
         "avoided",
-        F.round("realized_usd", 2).alias("realized_usd"),
+        "realized_usd",
         *[c for c in ("updated_at",) if c in effectiveness.columns],
-    ).orderBy(F.desc_nulls_last("realized_usd"))
+    )
 
 
 def route_mix(prints: DataFrame, params: Params) -> DataFrame:

@@ -13,6 +13,9 @@ BASELINE_TO = 31
 CURRENT_FROM = 30
 BASELINE_DAYS = 30
 
+# The shortest and longest lookback of the reports; the history view shows no more.
+MIN_LOOKBACK, MAX_LOOKBACK = 7, 90
+
 # Fixed value: list price of one billing unit in USD.
 DEFAULT_RATE = 0.70
 
@@ -26,6 +29,10 @@ class Params:
     rate: float = DEFAULT_RATE
     exact_counts: bool = False
 
+    def __post_init__(self) -> None:
+        if not MIN_LOOKBACK <= self.lookback <= MAX_LOOKBACK:
+            raise ValueError(f"lookback must be {MIN_LOOKBACK} to {MAX_LOOKBACK} days, not {self.lookback}")
+
     def ago(self, days: int) -> date:
         return self.as_of - timedelta(days=days)
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.cost import waterfall_daily
 from tallyframe.operators.coverage import coverage_daily
-from tallyframe.operators.ingest import FIRST_LOAD_DAYS, checkpoint, dedupe, first_load_from, ingest_batch
+from tallyframe.operators.ingest import (
+    FIRST_LOAD_DAYS,
+    days_with_news,
+    dedupe,
+    first_load_from,
+    of_days,
+    to_prints,
+)
+from tallyframe.operators.predicates import since
 from tallyframe.operators.rules import export_documents, read_rules, upsert_rules
 from tallyframe.operators.savings import rule_effectiveness
 from tallyframe.params import Params
 from tallyframe.sources.state import append, log_sync, overwrite, read_state, write_rules
-from tallyframe.sources.views import HISTORY_DAYS
-
-# Hours before the checkpoint that an ingest reads again, for statements that finished late.
-OVERLAP_HOURS = 24
 
 
 def run_ingest(
@@ -25,30 +29,19 @@ def run_ingest(
     root: str,
     history: DataFrame,
     params: Params,
-    overlap_hours: int = OVERLAP_HOURS,
     first_load_days: int = FIRST_LOAD_DAYS,
 ) -> None:
-    """Append the statements that finished since the last run. Running it again changes nothing."""
-    prints = read_state(spark, root, "fingerprint_history")
-    mark = checkpoint(_newest_day(prints, params), first_load_from(params.as_of, first_load_days)).select(
-        (F.col("checkpoint") - F.make_dt_interval(hours=F.lit(overlap_hours))).alias("ts")
-    )
-    micros, day = mark.select(F.unix_micros("ts"), F.to_date("ts")).first()
-    new = ingest_batch(history, F.timestamp_micros(F.lit(micros)))
-    append(dedupe(new, prints, day), root, "fingerprint_history")
-
-
-def _newest_day(prints: DataFrame, params: Params) -> DataFrame:
-    """The rows of the newest stored day, which has the newest start time.
+    """Append the finished statements that are not stored yet. Running it again changes nothing.
 
-    The day is a partition value. Only if nothing was stored lately are the older partitions opened.
+    What is new is found by id over the whole history, however late a statement finished or
+    arrived; only the days with news are then read with their texts.
     """
-    recent = prints.where(F.col("d") >= params.day(HISTORY_DAYS))
-    for part in (recent, prints):
-        day = part.agg(F.max("d")).first()[0]
-        if day is not None:
-            return prints.where(F.col("d") == F.lit(day))
-    return prints
+    prints = read_state(spark, root, "fingerprint_history")
+    visible = since(history, first_load_from(params.as_of, first_load_days))
+    first = params.as_of - timedelta(days=first_load_days)
+    days = days_with_news(visible, prints.where(F.col("d") >= F.lit(first)))
+    if days:
+        append(dedupe(to_prints(of_days(visible, days)), prints, days), root, "fingerprint_history")
 
 
 def recompute(
@@ -71,20 +64,26 @@ def run_recompute(
     params: Params,
     keep_other_days: bool = True,
 ) -> None:
-    """Rebuild the aggregate tables. Days outside the lookback stay unless told otherwise."""
+    """Rebuild the aggregate tables.
+
+    The days of the lookback are replaced as a whole: one that has no rows any more is removed. Older
+    days stay unless told otherwise.
+    """
     prints = read_state(spark, root, "fingerprint_history")
     for table, df in recompute(history, billing, prints, params).items():
-        overwrite(df, root, table, keep_other_days)
+        overwrite(df, root, table, keep_other_days, params.ago(params.lookback))
 
 
-def run_sync(spark: SparkSession, root: str, rules_path: str, out_path: str, ts: datetime) -> None:
+def run_sync(
+    spark: SparkSession, root: str, rules_path: str, out_path: str, ts: datetime, multi_line: bool = True
+) -> None:
     """Take in rule documents, write the effectiveness documents, and log the run.
 
-    A failure is logged with its message and raised.
+    Without ``multi_line`` the rule files have one document per line.     A failure is logged with its message and raised.
     """
     status, payload_bytes = "ok", 0
     try:
-        incoming = read_rules(spark, rules_path, F.lit(ts))
+        incoming = read_rules(spark, rules_path, F.lit(ts), multi_line)
         if not incoming.isEmpty():
             write_rules(upsert_rules(read_state(spark, root, "rules"), incoming), root, ts)
         effectiveness = read_state(spark, root, "rule_effectiveness")

@@ -263,6 +263,7 @@ ORACLES: dict[str, str] = {
            WHERE start_time > {AS_OF} - 90""",
     "ingest_idempotent": _ALL_PRINTS + f" WHERE start_time >= {_CUT}",
     "fingerprint_history_table": _ALL_PRINTS,
+    "ingest_late_arrivals": _ALL_PRINTS,
     "stream_ingest": _ALL_PRINTS,
     "stream_coverage": _H
     + """ SELECT CAST(start_time AS DATE) AS d,
@@ -348,7 +349,27 @@ ORACLES: dict[str, str] = {
     "redundant_count": _P
     + ","
     + _REDUNDANT
-    + " SELECT least(count(*), 50) AS redundant_fingerprints FROM redundant",
+    + " SELECT count(*) AS redundant_fingerprints, least(count(*), 50) AS rows_shown FROM redundant",
+    "redundant_top50_90": _P
+    + ","
+    + _REDUNDANT.replace("- 30", "- 90")
+    + " SELECT * FROM redundant ORDER BY execs DESC, ck LIMIT 50",
+    "spend_by_sku_90": _B
+    + ","
+    + _WATERFALL.replace("- 30", "- 90")
+    + " SELECT d, sku_name, round(sum(usd), 4) AS usd, layer FROM waterfall GROUP BY d, sku_name, layer",
+    "coverage_trend_7": _H + "," + _COVERAGE.replace("- 30", "- 7") + " SELECT * FROM trend ORDER BY d",
+    "waterfall_withdrawn_day": _B
+    + ","
+    + _WATERFALL
+    + f""" SELECT d, sku_name, warehouse_id, round(dbus, 4) AS dbus, round(usd, 4) AS usd, layer FROM waterfall
+           WHERE d NOT BETWEEN {AS_OF} - 20 AND {AS_OF} - 11""",
+    "sync_chain": _PB
+    + ","
+    + _effectiveness()
+    + f""" SELECT 'push_pull' AS direction, 'ok' AS status, true AS size_agrees,
+           (SELECT count(DISTINCT rule_id) FROM ({_RULE_DOCUMENTS})) AS rules,
+           (SELECT count(*) FROM effect) AS exported""",
     "spend_by_sku": _B
     + ","
     + _WATERFALL

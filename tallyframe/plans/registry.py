@@ -22,7 +22,7 @@ from tallyframe.functions import (
 from tallyframe.operators import cost, coverage, ingest, predicates, reports, rules, savings
 from tallyframe.operators.ingest import to_prints
 from tallyframe.params import Params
-from tallyframe.plans.jobs import recompute
+from tallyframe.plans.jobs import recompute, run_ingest, run_sync
 from tallyframe.schemas import EXPORT
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources import state, views
@@ -216,14 +216,23 @@ def ingest_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fingerprint_history_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Two appends to the partitioned state table, read back."""
+    """The ingest job on a table that has the first two thirds of the log, read back."""
     root = new_folder(spark, "state")
     state.create_state(spark, root, ["fingerprint_history"])
-    loaded = _loaded(spark, sf)
-    state.append(loaded, root, "fingerprint_history")
-    stored = state.read_state(spark, root, "fingerprint_history")
-    new = ingest.dedupe(_prints(spark, sf), stored)
-    state.append(new, root, "fingerprint_history")
+    state.append(_loaded(spark, sf), root, "fingerprint_history")
+    run_ingest(spark, root, src.history(spark, sf), P)
+    return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
+
+
+@query
+def ingest_late_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of the ingest job: half of the statements before the cut arrive in the second, up to months late."""
+    root = new_folder(spark, "state")
+    state.create_state(spark, root, ["fingerprint_history"])
+    log = src.history(spark, sf)
+    late = (F.col("start_time") < F.lit(CUT).cast("timestamp")) & (F.xxhash64("statement_id") % 2 == 0)
+    run_ingest(spark, root, log.where(~late), P)
+    run_ingest(spark, root, log, P)
     return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
 
 
@@ -241,9 +250,8 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Daily coverage kept up to date by a stream, read back."""
     root = new_folder(spark, "stream-state")
-    start_coverage(
-        src.history_from_events(_event_stream(spark, sf)), root, new_folder(spark, "stream-position"), "91 days"
-    ).awaitTermination()
+    log = src.history_from_events(_event_stream(spark, sf))
+    start_coverage(log, root, new_folder(spark, "stream-position")).awaitTermination()
     return state.read_state(spark, root, "coverage_daily").select(
         "d", "gateway_routed", "total", *ratio("coverage_ratio")
     )
@@ -282,6 +290,20 @@ def waterfall_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def waterfall_withdrawn_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The waterfall table after two recomputes; between them the usage of ten days was withdrawn."""
+    root = new_folder(spark, "state")
+    state.create_state(spark, root, ["waterfall_daily"])
+    billing = src.billing(spark, sf)
+    for usage in (billing, billing.where(~F.col("d").between(P.day(20), P.day(11)))):
+        df = cost.waterfall_daily(usage, P).withColumn("updated_at", F.current_timestamp())
+        state.overwrite(df, root, "waterfall_daily", replaced_from=P.ago(P.lookback))
+    return state.read_state(spark, root, "waterfall_daily").select(
+        "d", "sku_name", "warehouse_id", *money("dbus", "usd"), "layer"
+    )
+
+
 @query
 def warehouse_cost(spark: SparkSession, sf: str) -> DataFrame:
     return cost.warehouse_cost(src.billing(spark, sf), P).select("d", "warehouse_id", *money("wh_usd"))
@@ -403,7 +425,7 @@ def _seconds(df: DataFrame) -> DataFrame:
 
 @query
 def redundant_count(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.redundant_count(reports.redundant_top(_prints(spark, sf), P))
+    return reports.redundant_count(reports.redundancy_table(_prints(spark, sf), P))
 
 
 @query
@@ -431,9 +453,52 @@ def route_mix(spark: SparkSession, sf: str) -> DataFrame:
     return reports.route_mix(_prints(spark, sf), P)
 
 
+# The shortest and the longest lookback
+
+
+@query
+def coverage_trend_7(spark: SparkSession, sf: str) -> DataFrame:
+    params = Params(P.as_of, lookback=7)
+    return reports.coverage_trend(coverage.coverage_daily(src.history(spark, sf), params), params)
+
+
+@query
+def redundant_top50_90(spark: SparkSession, sf: str) -> DataFrame:
+    return _seconds(reports.redundant_top(_prints(spark, sf), Params(P.as_of, lookback=90)))
+
+
+@query
+def spend_by_sku_90(spark: SparkSession, sf: str) -> DataFrame:
+    params = Params(P.as_of, lookback=90)
+    waterfall = cost.waterfall_daily(src.billing(spark, sf), params)
+    return reports.spend_by_sku(waterfall, params).select("d", "sku_name", *money("usd"), "layer")
+
+
 # Rules and exchange
 
 
+@query
+def sync_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The sync job from rule files to effectiveness documents: what it stored, wrote and logged."""
+    root, incoming, out = (new_folder(spark, n) for n in ("state", "rules", "export"))
+    state.create_state(spark, root, ["rules", "rule_effectiveness", "sync_log"])
+    src.rule_documents(spark, sf).write.text(incoming)
+    effect = _effect(spark, sf).withColumn("updated_at", F.current_timestamp())
+    state.overwrite(effect, root, "rule_effectiveness")
+    run_sync(spark, root, incoming, out, src.midnight(1), multi_line=False)
+    document = "reported_at string, effectiveness array<struct<rule_id: string>>"
+    sent = spark.read.schema(document).json(out).agg(F.sum(F.size("effectiveness")).alias("n"))
+    size = spark.read.text(out).agg(F.sum(F.octet_length("value")))
+    stored = state.read_state(spark, root, "rules").agg(F.count("*"))
+    return state.read_state(spark, root, "sync_log").select(
+        "direction",
+        "status",
+        (F.col("payload_bytes") == size.scalar()).alias("size_agrees"),
+        stored.scalar().alias("rules"),
+        sent.scalar().alias("exported"),
+    )
+
+
 @query
 def rules_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return rules.upsert_rules(src.rules(spark, sf), src.incoming_rules(spark, sf))

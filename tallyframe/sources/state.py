@@ -6,8 +6,9 @@ few files, while a day larger than the advisory partition size is split over sev
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,24 +66,45 @@ def append(df: DataFrame, root: str, table: str) -> None:
     _writer(conform(df, table), table, "append").parquet(state_path(root, table))
 
 
-def overwrite(df: DataFrame, root: str, table: str, keep_other_days: bool = True) -> None:
+def overwrite(
+    df: DataFrame, root: str, table: str, keep_other_days: bool = True, replaced_from: date | None = None
+) -> None:
     """Replace the table, or by default only the days that ``df`` has.
 
+    With ``replaced_from``, ``df`` is all there is from that day on: stored days it lacks are removed.
     Tables without partitions are replaced as a whole. ``df`` must not read the table itself.
     """
-    dynamic = keep_other_days and table in PARTITIONED_BY
+    spark, dynamic = df.sparkSession, keep_other_days and table in PARTITIONED_BY
+    before: set[date] = set()
+    if dynamic and replaced_from is not None:
+        df = df.where(F.col("d") >= F.lit(replaced_from)).persist()
+        before = _days(read_state(spark, root, table).where(F.col("d") >= F.lit(replaced_from)))
+        before -= _days(df)
     (
         _writer(conform(df, table), table, "overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .parquet(state_path(root, table))
     )
+    for day in before:
+        _remove(spark, f"{state_path(root, table)}/{PARTITIONED_BY[table]}={day.isoformat()}")
+    df.unpersist()
+
+
+def _days(df: DataFrame) -> set[date]:
+    return {r.d for r in df.select("d").distinct().collect()}
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _read_rules(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot. Its number is fetched first, so the others are pruned."""
+    """The newest snapshot. File names tell its number, so no other is read."""
     snapshots = spark.read.schema(RULE_SNAPSHOTS).parquet(state_path(root, "rules"))
-    newest = snapshots.agg(F.max("snapshot")).first()[0]
-    return snapshots.where(F.col("snapshot") == F.lit(newest or 0)).select(*RULES.names)
+    numbers = (re.search(r"/snapshot=([0-9]+)/", f) for f in snapshots.inputFiles())
+    newest = max((int(n[1]) for n in numbers if n), default=0)
+    return snapshots.where(F.col("snapshot") == F.lit(newest)).select(*RULES.names)
 
 
 def write_rules(df: DataFrame, root: str, ts: datetime) -> None:

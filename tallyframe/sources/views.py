@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import utc_midnight
 from tallyframe.params import Params
 from tallyframe.schemas import BILLING_USAGE, QUERY_HISTORY
 
@@ -19,7 +20,7 @@ def query_history(raw: DataFrame, params: Params, days: int = HISTORY_DAYS) -> D
 
     The bound is a literal, so it reaches the scan as a pushed filter.
     """
-    since = F.lit(params.as_of - timedelta(days=days)).cast("timestamp")
+    since = utc_midnight(params.as_of - timedelta(days=days))
     return raw.select(*QUERY_HISTORY.names).where(F.col("start_time") >= since)
 
 

@@ -4,29 +4,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyframe.functions import utc_day
 from tallyframe.operators.coverage import coverage_counts, coverage_ratio
 from tallyframe.sources.state import overwrite
 
-# Must exceed the longest statement plus its delivery lag.
-LATENESS = "2 days"
 
+def coverage_stream(history: DataFrame) -> DataFrame:
+    """Coverage per UTC day, brought up to date by every batch.
 
-def coverage_stream(history: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Coverage per day as an event-time aggregation. Days are UTC days.
-
-    State is one counter pair per open day; a day closes when the watermark has passed it.
+    State is one counter pair per day and never expires, so a statement counts however late it arrives.
     """
     return (
-        history.withWatermark("start_time", lateness)
-        .groupBy(F.window("start_time", "1 day"))
+        history.where("start_time IS NOT NULL")
+        .groupBy(utc_day("start_time").alias("d"))
         .agg(*coverage_counts())
-        .select(F.to_date("window.start").alias("d"), "gateway_routed", "total", coverage_ratio())
+        .select("d", "gateway_routed", "total", coverage_ratio())
     )
 
 
-def start_coverage(
-    history: DataFrame, root: str, checkpoint_dir: str, lateness: str = LATENESS
-) -> StreamingQuery:
+def start_coverage(history: DataFrame, root: str, checkpoint_dir: str) -> StreamingQuery:
     """Keep ``coverage_daily`` up to date: a batch rewrites the days it changed.
 
     An update carries the whole count of a day, so a batch that is repeated after a failure writes
@@ -37,7 +33,7 @@ def start_coverage(
         overwrite(batch.withColumn("updated_at", F.current_timestamp()), root, "coverage_daily")
 
     return (
-        coverage_stream(history, lateness)
+        coverage_stream(history)
         .writeStream.foreachBatch(replace_days)
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("update")

@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyframe.functions import utc_day
 from tallyframe.operators.ingest import dedupe, to_prints
 from tallyframe.schemas import QUERY_HISTORY
 from tallyframe.sources.state import append, read_state
@@ -26,11 +26,11 @@ def start_ingest(history: DataFrame, root: str, checkpoint_dir: str) -> Streamin
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        first_day = batch.agg(F.min(F.to_date("start_time"))).first()[0]
-        if first_day is None:
-            return
-        known = read_state(batch.sparkSession, root, "fingerprint_history")
-        append(dedupe(to_prints(batch), known, first_day), root, "fingerprint_history")
+        named = batch.where("start_time IS NOT NULL")
+        days = [r.d for r in named.select(utc_day("start_time").alias("d")).distinct().collect()]
+        if days:
+            known = read_state(batch.sparkSession, root, "fingerprint_history")
+            append(dedupe(to_prints(batch), known, days), root, "fingerprint_history")
 
     return (
         history.writeStream.foreachBatch(add)

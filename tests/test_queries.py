@@ -37,6 +37,7 @@ def test_entry(spark):
 
 
 WRITERS = {"fingerprint_history_table", "stream_ingest", "stream_coverage", "waterfall_table", "rules_table"}
+WRITERS |= {"ingest_late_arrivals", "waterfall_withdrawn_day", "sync_chain"}
 WRITERS |= {"rules_from_files", "effectiveness_json", "effectiveness_latest"}
 
 

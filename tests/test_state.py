@@ -189,3 +189,50 @@ def test_recompute_keeps_or_drops_older_days(spark, root):
     assert state.read_state(spark, root, "coverage_daily").count() == 90
     jobs.run_recompute(spark, root, log, billing, data.P, keep_other_days=False)
     assert state.read_state(spark, root, "coverage_daily").count() == 30
+
+
+def test_statements_arrive_in_any_order(spark, root):
+    start = datetime(2024, 3, 30, 10)
+    first = [statement(1, start), statement(2, datetime(2030, 1, 1))]
+    late = [statement(3, start - timedelta(hours=30)), statement(4, start - timedelta(days=40)), statement(5, start)]
+    nameless = ("u1", "wh0", "SELECT", "FINISHED", 1, 1, start, start, "SELECT 1")
+    for rows in (first, [*first, *late, (None, *nameless)], [*first, *late]):
+        jobs.run_ingest(spark, root, history(spark, rows), data.P)
+    got = [r.statement_id for r in state.read_state(spark, root, "fingerprint_history").collect()]
+    assert sorted(got) == ["s1", "s2", "s3", "s4", "s5"]
+    assert ingest.unnamed(history(spark, [(None, *nameless), *late])).first()[0] == 1
+
+
+def test_recompute_removes_withdrawn_days(spark, root):
+    def write(days, start):
+        state.overwrite(daily(spark, days, 0.1), root, "coverage_daily", replaced_from=date(2024, 3, start))
+
+    write([5, 6, 20, 21], 1)
+    write([21], 10)
+    assert sorted(r.d.day for r in state.read_state(spark, root, "coverage_daily").collect()) == [5, 6, 21]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_days_do_not_follow_the_session_zone(spark, zone):
+    moments = [datetime(2024, 3, 10, h, tzinfo=timezone.utc) for h in (0, 1, 23)]
+    log = history(spark, [statement(i, m) for i, m in enumerate(moments)])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {r.d for r in ingest.to_prints(log).collect()} == {date(2024, 3, 10)}
+        days = coverage_daily(log, Params(date(2024, 3, 17), lookback=7)).collect()
+        assert [(r.d, r.total) for r in days] == [(date(2024, 3, 10), 3)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("lookback", [6, 91])
+def test_lookback_is_bounded(lookback):
+    with pytest.raises(ValueError, match="7 to 90"):
+        Params(data.AS_OF, lookback=lookback)
+
+
+def test_missing_arguments_are_reported_before_any_work(tmp_path):
+    with pytest.raises(SystemExit):
+        main.main(["--root", str(tmp_path / "never"), "--history", "h", "--billing", "b"])
+    assert not (tmp_path / "never").exists()

@@ -53,9 +53,20 @@ def test_coverage_stream_equals_batch(spark, tmp_path):
         part = F.pmod(F.xxhash64("statement_id"), F.lit(4)) == i
         log.where(part & (F.col("start_time") < f"2024-01-{4 + 2 * i:02d}")).coalesce(1).write.mode("append").parquet(folder)
     stream = lambda: history_stream(spark, folder, files_per_batch=1)
-    start_coverage(stream(), root, position, "20 days").awaitTermination()
+    start_coverage(stream(), root, position).awaitTermination()
     got = read_state(spark, root, "coverage_daily").drop("updated_at")
     arrived = spark.read.schema(QUERY_HISTORY).parquet(folder)
-    want = coverage_daily(arrived, Params(src.AS_OF, lookback=365))
+    want = coverage_daily(arrived, Params(src.AS_OF, lookback=90))
     assert sorted(got.collect()) == sorted(want.collect())
     assert got.count() == 9
+
+
+def test_coverage_stream_counts_late_statements(spark, tmp_path):
+    folder, root, position = (str(tmp_path / n) for n in ("log", "state", "position"))
+    create_state(spark, root)
+    for i, day in enumerate((10, 20, 10)):
+        row = (f"s{i}", "u", "w", "SELECT", "FINISHED", 1, 1, datetime(2024, 3, day), None, "SELECT 1")
+        spark.createDataFrame([row], QUERY_HISTORY).write.mode("append").parquet(folder)
+        start_coverage(history_stream(spark, folder), root, position).awaitTermination()
+    rows = read_state(spark, root, "coverage_daily").collect()
+    assert {r.d.day: r.total for r in rows} == {10: 2, 20: 1}
