@@ -110,7 +110,10 @@ def test_nothing_else_changes(spark, hard, documents):
     for r in pseudonymise(documents, KEY).collect():
         if not r.n_values:
             assert r.text == before[r.doc_id]
-        assert not set(re.findall(r"[\w.]+@[\w.]+|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b", before[r.doc_id])) & set(re.findall(r"\S+", r.text))
+        personal = re.findall(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b", before[r.doc_id])
+        for value in personal:
+            is_number = value.isdigit()
+            assert (value in r.text) == (is_number and not luhn(value)), value
 
 
 def test_no_python_in_the_plan(spark, documents):
