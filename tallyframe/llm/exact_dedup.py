@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from tallyframe.llm.common import fresh, same, stored
 
@@ -26,10 +26,13 @@ def _fold(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(texts, ""))
 
 
-@F.arrow_udf(StringType())
-def folded(texts: pa.Array) -> pa.Array:
-    """The text with A-Z in lower case and nothing else changed; null counts as empty."""
-    return _fold(texts)
+@F.arrow_udf(BinaryType())
+def content(texts: pa.Array) -> pa.Array:
+    """The whole text with A-Z in lower case, losslessly compressed; null counts as empty.
+
+    Two texts are equal exactly if their compressed forms are, and these are half as large to move.
+    """
+    return pa.array([pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in _fold(texts)], pa.binary())
 
 
 @F.arrow_udf(StringType())
@@ -66,7 +69,7 @@ def exact_dedup(
     texts with one digest are told apart by content.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    winners = _winners(rows.select("id", digest("text").alias("digest"), folded("text").alias("content")), salts)
+    winners = _winners(rows.select("id", digest("text").alias("digest"), content("text").alias("content")), salts)
     per_digest = stored(
         winners.groupBy("digest").agg(
             F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts")
@@ -78,7 +81,7 @@ def exact_dedup(
     clashes = per_digest.where("texts > 1").select("digest")
     if not clashes.isEmpty():
         # Different texts with one digest: these rows are joined by content.
-        clashing = rows.select("id", digest("text").alias("digest"), folded("text").alias("content")).join(
+        clashing = rows.select("id", digest("text").alias("digest"), content("text").alias("content")).join(
             clashes, "digest", "left_semi"
         )
         groups = stored(_winners(clashing, salts), "clashes")
@@ -103,8 +106,9 @@ def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     verdict = exact_dedup(docs, id_col, text_col, salts).select(
         F.col(id_col).alias(kept_id), F.col("text_sha256").alias(digest), F.col("kept").alias("_stays")
     )
-    verdict = verdict.groupBy(kept_id, digest).agg(F.max("_stays").alias("_stays"), F.count("*").alias("_rows"))
-    verdict = stored(verdict, "verdict")
+    # Stored before it is grouped: a grouping in the stage of a join keeps Spark from splitting a hot digest there.
+    verdict = stored(verdict, "rows").groupBy(kept_id, digest)
+    verdict = stored(verdict.agg(F.max("_stays").alias("_stays"), F.count("*").alias("_rows")), "verdict")
     marked = docs.withColumns({kept_id: F.col(id_col), digest: folded_sha256(F.col(text_col).cast("string"))})
     dropped = verdict.where("NOT _stays").select(kept_id, digest)
     rest = marked.join(dropped, same(marked, dropped, [kept_id, digest]), "left_anti")
