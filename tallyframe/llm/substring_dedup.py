@@ -6,7 +6,7 @@ cover. For any two positions some shift below ``period`` moves both to cover pos
 always share an aligned anchor. Only windows that hold a shared anchor are then hashed whole (the extension) and
 compared by 96 bits over all documents.
 
-Both comparisons combine within each batch first: of the documents of a batch that share a hash, only the one
+Whole copies of a smaller document are set aside first, as all their windows start in that one. Both comparisons combine within each batch first: of the documents of a batch that share a hash, only the one
 with the smallest id is compared further, and the others are settled on the spot. A passage in a third of all
 documents thus costs a reducer one row per batch.
 """
@@ -21,8 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
+from tallyframe.llm.common import stored
+
 WINDOW = 13
 PERIOD = 7
 # Perfect difference covers; every remainder is a difference of two members.
@@ -76,7 +79,7 @@ def candidate_starts(words: np.ndarray, shared: np.ndarray, window: int, period:
 
 
 def _combined(ids: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the distinct (hash, check, id), and the kind of each.
+    """The places of the distinct (hash, check, id), in order of place, and the kind of each.
 
     FIRST: the smallest id of this hash and check, and the only one. LEADS: the smallest of several. SETTLED: not
     the smallest.
@@ -90,14 +93,16 @@ def _combined(ids: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[
     order, first = order[new_row], new_key[new_row]
     kind = np.where(first, FIRST, SETTLED).astype(np.int8)
     kind[:-1][first[:-1] & ~first[1:]] = LEADS
-    return order, kind
+    by_place = np.argsort(order)
+    return order[by_place], kind[by_place]
 
 
 def _exchange_rows(rows: DataFrame, per_text: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Rows ``key``, ``check``, ``id``, ``kind`` of the hashes that ``per_text`` finds in each row.
 
     Rows that need a comparison meet by ``key``, the hash. A settled row needs none; its key is mixed with its id,
-    so that the copies of a common passage spread evenly. ``HASH`` takes that back.
+    so that the copies of a common passage spread evenly. ``HASH`` takes that back. The rows of a document stay
+    together, so that an exchange compresses all of a row but its key.
     """
     names = ["key", "check", "id", "kind"]
 
@@ -121,8 +126,13 @@ def _exchange_rows(rows: DataFrame, per_text: Callable[..., tuple[np.ndarray, np
     return rows.mapInArrow(find, "key long, check int, id long, kind tinyint")
 
 
-def duplicate_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
-    """``id``, ``found``: per document the hashes of its windows that also start in one with a smaller id."""
+def duplicate_starts(
+    texts: DataFrame, compared: DataFrame, window: int = WINDOW, period: int = PERIOD
+) -> DataFrame:
+    """``id``, ``found``: per ``compared`` document the hashes of its windows that also start in one with a smaller id.
+
+    ``texts`` holds them all and maybe others; it is joined as it is, so that its exchange can be shared.
+    """
 
     def anchor_rows(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         hashes = anchors(word_hashes(text), window, period)[1]
@@ -135,14 +145,14 @@ def duplicate_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIO
 
     meeting = Window.partitionBy("key", "check")
     shared = (
-        _exchange_rows(texts, anchor_rows)
+        _exchange_rows(compared, anchor_rows)
         .withColumn("n", F.count("*").over(meeting))
         .where(f"kind <> {FIRST} OR n > 1")
         .groupBy("id")
         .agg(F.collect_list(F.expr(HASH)).alias("shared"))
     )
     return (
-        _exchange_rows(texts.join(shared, "id").select("id", "text", "shared"), window_rows)
+        _exchange_rows(texts.join(shared, "id").select("id", "_text", "shared"), window_rows)
         .withColumn("low", F.min("id").over(meeting))
         .where(f"kind = {SETTLED} OR low < id")
         .groupBy("id")
@@ -150,6 +160,20 @@ def duplicate_starts(texts: DataFrame, window: int = WINDOW, period: int = PERIO
     )
 
 
+@F.arrow_udf(BinaryType())
+def _words_digest(texts: pa.Array) -> pa.Array:
+    words = (t.as_py().encode().split() if t.is_valid else [] for t in texts)
+    return pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+
+
+def copies_of_smaller(texts: DataFrame) -> DataFrame:
+    """``id``: the documents whose words are, as a whole, those of a document with a smaller id."""
+    digests = stored(texts.select("id", _words_digest("_text").alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    first = stored(first.where("first < last").select("digest", "first"), "first")
+    return stored(digests.join(first, "digest").where("id > first").select("id").distinct(), "copies")
+
+
 def substring_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -167,17 +191,20 @@ def substring_dedup(
     """
     if period not in COVERS or window < period:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most the window")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # The same exchange of the texts by id serves the extension and the cut.
+    # A new name for the text as well: Spark drops an alias to the old one on one side of the plan only, and then no
+    # longer sees that the same exchange of the texts by id serves the extension and the cut.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
     texts = rows.where("id IS NOT NULL")
-    found = duplicate_starts(texts, window, period)
+    copies = copies_of_smaller(texts).select("id", F.lit(True).alias("copy"))
+    compared = texts.join(copies, "id", "left").where("copy IS NULL").select("id", "_text")
+    found = duplicate_starts(texts, compared, window, period)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, repeated in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, repeated, copy in zip(batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
                 words = (text or "").encode().split()
-                keep = np.ones(len(words), bool)
+                keep = np.full(len(words), not copy.as_py() or len(words) < window)
                 if repeated.is_valid:
                     hashes = word_hashes(text)
                     starts = np.arange(max(0, len(words) - window + 1))
@@ -186,12 +213,17 @@ def substring_dedup(
                         keep[starts + k] = False
                 n_words.append(len(words))
                 n_removed.append(len(words) - int(keep.sum()))
-                kept.append(b" ".join(compress(words, keep.tolist()) if repeated.is_valid else words))
+                kept.append(b" ".join(words if keep.all() else compress(words, keep.tolist())))
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.binary()).cast(pa.string())], names)
 
     names = ["id", "n_words", "n_removed", "kept_text"]
-    with_id = texts.join(found, "id", "left").select("id", "text", "found")
-    without = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("found"))
-    return with_id.unionByName(without).mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    with_id = texts.join(found, "id", "left").join(copies, "id", "left").select(
+        "id", "_text", "found", F.coalesce("copy", F.lit(False)).alias("copy")
+    )
+    without = rows.where("id IS NULL").select(
+        "id", "_text", F.lit(None).cast("array<bigint>").alias("found"), F.lit(False).alias("copy")
+    )
+    out = with_id.unionByName(without).mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
+    return out.withColumnRenamed("id", id_col)
 
