@@ -159,6 +159,13 @@ def near_duplicates(
     texts have fingerprint zero and are linked like others. Repeated rows get equal results, an empty table an
     empty one; other columns are not read.
     """
+    return _components_of(docs, id_col, text_col, shingle, radius).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """``id``, ``fp``, ``component_id`` and ``first_fp``, the smallest fingerprint under that id in the component."""
     prints = stored(docs.select(F.col(id_col).alias("id"), simhash(text_col, shingle).alias("fp")), "prints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = components(links(classes.select("fp"), radius))
@@ -166,28 +173,29 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     linked = stored(linked, "linked")
-    named = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    by_print = stored(linked.join(named, "root").select("fp", "component_id"), "by-print")
-    return prints.join(by_print, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    lowest = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp")))
+    named = linked.groupBy("root").agg(lowest.alias("low"))
+    named = stored(named.select("root", F.col("low.first").alias("component_id"), F.col("low.fp").alias("first_fp")), "named")
+    by_print = stored(linked.join(named, "root").select("fp", "component_id", "first_fp"), "by-print")
+    return prints.join(by_print, "fp").select("id", "fp", "component_id", "first_fp")
 
 
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns.
+    """One row of each component of ``docs``, with all its columns: of those with the smallest id one with the
+    smallest fingerprint.
 
-    Of rows that repeat an id one stays. A component without any id keeps its rows.
+    A component without any id keeps its rows.
     """
-    name = fresh(docs, "component_of")
-    found = near_duplicates(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias(name), "component_id")
-    found = stored(found, "components")
-    stays = F.col(name).eqNullSafe(F.col("component_id"))
-    dropped = found.where(~stays).select(name).distinct()
-    marked = docs.withColumn(name, F.col(id_col))
-    rest = marked.join(dropped, same(marked, dropped, [name]), "left_anti")
-    if not found.where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").isEmpty():
-        named = rest.where(F.col(name).isNotNull()).dropDuplicates([name])
+    name, fp = fresh(docs, "component_of"), fresh(docs, "fp")
+    found = stored(_components_of(docs, id_col, text_col, shingle, radius), "components")
+    found = found.withColumnsRenamed({"id": name, "fp": fp})
+    stays = F.col(name).eqNullSafe(F.col("component_id")) & F.coalesce(F.col(fp) == F.col("first_fp"), F.lit(True))
+    dropped = found.where(~stays).select(name, fp).distinct()
+    marked = docs.withColumns({name: F.col(id_col), fp: simhash(text_col, shingle)})
+    rest = marked.join(dropped, same(marked, dropped, [name, fp]), "left_anti")
+    if not found.where(stays & F.col(name).isNotNull()).groupBy(name, fp).count().where("count > 1").isEmpty():
+        named = rest.where(F.col(name).isNotNull()).dropDuplicates([name, fp])
         rest = named.unionByName(rest.where(F.col(name).isNull()))
-    return rest.drop(name)
+    return rest.drop(name, fp)

@@ -91,3 +91,13 @@ def test_documents(spark, documents, hard):
         assert kept.columns == docs.columns
         named = [r.doc_id for r in kept.collect() if r.doc_id is not None]
         assert sorted(named) == sorted({i for i, _, c in want if i is not None and i == c})
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    alone, other = "a null id and words of its own", "nothing like the first one at all, not a word"
+    rows = [(None, "x y z"), (4, "x y z"), (None, alone), (None, alone), (5, other), (5, "x y z"), (5, "q r s"), (5, "q r s")]
+    rows += [(1, "m n o"), (1, "t u v"), (2, "m n o"), (3, "t u v")]
+    assert len({brute_print(t) for _, t in rows}) == 6
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, alone), (None, alone), (1, "m n o"), (1, "t u v"), (4, "x y z"), (5, other), (5, "q r s")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
