@@ -167,11 +167,13 @@ def _words_digest(texts: pa.Array) -> pa.Array:
 
 
 def copies_of_smaller(texts: DataFrame) -> DataFrame:
-    """``id``: the documents whose words are, as a whole, those of a document with a smaller id."""
+    """``id``: the documents of which every row has, as a whole, the words of a document with a smaller id."""
     digests = stored(texts.select("id", _words_digest("_text").alias("digest")), "digests")
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     first = stored(first.where("first < last").select("digest", "first"), "first")
-    return stored(digests.join(first, "digest").where("id > first").select("id").distinct(), "copies")
+    copied = F.every(F.coalesce(F.expr("id > first"), F.lit(False)))
+    ids = digests.join(first, "digest", "left").groupBy("id").agg(copied.alias("copy"))
+    return stored(ids.where("copy").select("id"), "copies")
 
 
 def substring_dedup(

@@ -60,6 +60,12 @@ def test_words_that_repeat_within_one_document(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_repeated_id_with_a_copy_and_a_text_of_its_own(spark):
+    copy, own = " ".join(f"c{i}" for i in range(20)), " ".join(f"o{i}" for i in range(20))
+    rows = [(1, copy), (2, copy), (2, own), (3, "new " + own), (4, copy), (4, copy), (5, ""), (6, None), (6, "x " + copy)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
 def test_combining_settles_all_but_the_smallest_id():
     ids, hashes = np.array([5, 3, 3, 9, 4]), np.array([1, 1, 1, 2, 1])
     order, kind = _combined(ids, hashes, np.zeros(5, np.int32))
