@@ -17,9 +17,28 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 # Patterns of the formats, in the order in which they are tried.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Lengths of account numbers by country, registered ones and those in use without.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS MA TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, countries: str) -> str:
+    whole, rest = divmod(length - 4, 4)
+    last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}{last}"
+
+
+# Other countries have the lengths of the standard.
+_ACCOUNTS = "|".join(_account(n, c) for n, c in IBAN_COUNTRIES.items())
+_OTHER = f"(?!{'|'.join(IBAN_COUNTRIES.values()).replace(' ', '|')})[A-Z]{{2}}"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ACCOUNTS}|{_OTHER}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
     "dotted_date": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])",
@@ -28,9 +47,19 @@ KINDS = {
     "nanp": r"(?:(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|(?<![0-9+])(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+# Cards: one run of digits, or the usual groups, and maybe a short group that belongs to the number or follows it (a
+# security code, a day); else any groups. None reaches into a value of another format, other groups into no usual ones.
+_GROUPS = "[0-9]{4}(?:S[0-9]{4}){2}S[0-9]{1,4}|[0-9]{4}S[0-9]{6}S[0-9]{4,5}|[0-9]{4}(?:S[0-9]{3}){3}"
+CARD = f"(?:[0-9]{{13,19}}|{_GROUPS.replace('S', ' ')}|{_GROUPS.replace('S', '-')})(?![0-9])"
+_NEXT = "|".join(KINDS[k] for k in ("ipv4", "iso_date", "dotted_date", "slashed_date", "ssn", "nanp"))
+KINDS["card"] = (
+    f"(?<![0-9])(?:{CARD}(?:[ -](?!{_NEXT}|{CARD})[0-9]{{1,4}}(?![0-9]))?"
+    f"|[0-9](?:[0-9]|[ -](?!{_NEXT}|{CARD})[0-9]){{12,18}}(?![0-9]))"
+)
 DATES = {"iso_date": "yyyy-MM-dd", "dotted_date": "dd.MM.yyyy", "slashed_date": "MM/dd/yyyy"}
+# A slashed date is read day-first where month-first is no date.
+DAY_FIRST = "dd/MM/yyyy"
 # Formats but mail addresses begin with one of a few signs; the guards keep the search off all other places.
 _GUARDS = {"email": "", "iban": "(?=[A-Z]{2}[0-9])"}
 PATTERN = "|".join(f"{_GUARDS.get(k, '(?=[0-9+(])')}(?:{p})" for k, p in KINDS.items())
@@ -79,9 +108,8 @@ def _mod97(text: Column) -> Column:
 
 def _date(value: Column, kind: Column) -> Column:
     """The date of a value; null if it is none or outside of the 400 years that can be permuted."""
-    day = F.coalesce(
-        *(F.when(kind == k, F.try_to_timestamp(value, F.lit(f)).cast("date")) for k, f in DATES.items())
-    )
+    formats = [*DATES.items(), ("slashed_date", DAY_FIRST)]
+    day = F.coalesce(*(F.when(kind == k, F.try_to_timestamp(value, F.lit(f)).cast("date")) for k, f in formats))
     return F.when(F.datediff(day, F.lit(FIRST_DAY)).between(0, DAYS - 1), day)
 
 
@@ -213,23 +241,38 @@ def rendered(value: Column, kind: Column, row: Column) -> Column:
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (number(1) * DAY_PARTS[1] + number(2)).cast("int"))
     out = F.when(kind == "ipv4", ip).when(kind == "ssn", person)
     for k, f in DATES.items():
-        out = out.when(kind == k, F.date_format(day, f))
+        made = F.date_format(day, f)
+        if k == "slashed_date":
+            # Day-first where the day is no month: the pseudonym is then read back as the date that it is.
+            swapped = F.try_to_timestamp(value, F.lit(f)).isNull() & (F.dayofmonth(day) > 12)
+            made = F.when(swapped, F.date_format(day, DAY_FIRST)).otherwise(made)
+        out = out.when(kind == k, made)
     return out.otherwise(checked)
 
 
+def _number(value: Column, kind: Column) -> Column:
+    """The part of a found value that is replaced: of a card in usual groups with a group behind it, the card."""
+    head = F.regexp_extract(value, f"^{CARD}", 0)
+    return F.when((kind == "card") & is_valid(head, F.lit("card")), head).otherwise(value)
+
+
 def pseudonym(value: Column, key: str, rounds: int = ROUNDS) -> Column:
     """``kind`` and ``value`` of a found value: its pseudonym, or null and the value as it is where it isn't valid."""
 
-    def with_row(kind: Column) -> Column:
-        row = _let(symbols(value, kind), lambda s: permuted(s, kind, key, rounds))
-        return _let(row, lambda row: rendered(value, kind, row))
-
-    def judge(kind: Column) -> Column:
-        made = F.when(kind.isNotNull(), with_row(kind)).otherwise(value)
+    def judge(found: Column) -> Column:
+        part, kind = found["part"], found["kind"]
+        row = _let(symbols(part, kind), lambda s: permuted(s, kind, key, rounds))
+        made = _let(row, lambda row: rendered(part, kind, row))
+        rest = F.substring(value, F.length(part) + 1, F.length(value))
+        made = F.when(kind.isNotNull(), F.concat(made, rest)).otherwise(value)
         return F.struct(kind.alias("kind"), made.alias("value"))
 
-    found = _let(kind_of(value), lambda kind: F.when(is_valid(value, kind), kind))
-    return _let(found, judge)
+    def checked(found: Column) -> Column:
+        part, kind = found["part"], found["kind"]
+        return F.struct(F.when(is_valid(part, kind), kind).alias("kind"), part.alias("part"))
+
+    found = _let(kind_of(value), lambda kind: F.struct(kind.alias("kind"), _number(value, kind).alias("part")))
+    return _let(_let(found, checked), judge)
 
 
 def pseudonymise(
@@ -242,7 +285,8 @@ def pseudonymise(
     """One row per document: ``id_col``, ``text``, ``n_values``, ``kinds``.
 
     ``text`` has a pseudonym in place of every valid mail address (the domain stays), card and account number,
-    phone number (the country code stays), IPv4 address, US social security number and date from 1700 to 2099;
+    phone number (the country code stays), IPv4 address, US social security number and date from 1700 to 2099
+    (month-first between slashes, day-first where that is no date);
     everything else is unchanged. ``n_values`` counts them, ``kinds`` lists their formats, sorted and comma-joined.
     Mail addresses that differ in case only, and numbers that differ in punctuation only, share a pseudonym up to
     these. Null texts stay null with no values. Documents are rewritten one by one, so repeated rows give repeated

@@ -88,6 +88,48 @@ def test_formats_and_links(spark):
     assert [got[i].kinds for i in (0, 2, 4)] == ["email", "nanp,phone", "dotted_date,iso_date,slashed_date"]
 
 
+def test_short_tokens_behind_a_number(spark):
+    card, amex, account = "4111 1111 1111 1111", "3782 822463 10005", "BE68 5390 0754 7034"
+    tails = [" 123", " 12/25", " 12 May", " 123-45-6789", " 10.0.0.1", " 12/25/2020", f" {amex}", ""]
+    texts = [c + t for c in (card, card.replace(" ", ""), card.replace(" ", "-"), amex) for t in tails]
+    at = len(texts)
+    texts += [f"{account} EUR", "AT61 1904 3002 3457 3201 BIC", f"{account} {card}", f"{account} AT61 1904 3002 3457 3201"]
+    texts += ["DE89 3704 0044 0532 0130 00 EUR", f"12 {card}", "6304 0000 0000 0000 000", "6011 1111 1111 1111 17"]
+    got = rewrite(spark, texts)
+    linked = set()
+    for i, text in enumerate(texts[:at]):
+        tail, n = tails[i % len(tails)], len(texts[i]) - len(tails[i % len(tails)])
+        number = got[i].text[:n]
+        assert number != text[:n] and luhn(re.sub("[ -]", "", number)), text
+        linked.add((text[:4], re.sub("[ -]", "", number)))
+        masked = tail not in ("", " 123", " 12/25", " 12 May")
+        assert got[i].n_values == 1 + masked and (got[i].text[n:] != tail) == masked, text
+    assert len(linked) == 2
+    for i, own in zip(range(at, at + 5), (account, texts[at + 1][:24], account, account, texts[at + 4][:27])):
+        number = got[i].text[: len(own)]
+        assert number != own and mod97(number.replace(" ", "")) == 1
+    assert [got[i].n_values for i in range(at, len(texts))][:6] == [1, 1, 2, 2, 1, 1]
+    assert [got[at + i].text[-4:] for i in (0, 1, 4)] == [" EUR", " BIC", " EUR"]
+    assert got[at + 5].text[:3] == "12 " and luhn(got[at + 5].text[3:].replace(" ", ""))
+    for i in (at + 6, at + 7):
+        assert bool(got[i].n_values) == (luhn(texts[i].replace(" ", "")) or luhn(texts[i][:19].replace(" ", "")))
+
+
+def test_day_first_dates(spark):
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(n) for n in range(366)]
+    got = rewrite(spark, [f"{d:%d/%m/%Y} {d:%m/%d/%Y} {d}" for d in days])
+    read = set()
+    for i, day in enumerate(days):
+        first, _, iso = got[i].text.split(" ")
+        assert got[i].n_values == 3 and re.fullmatch(r"\d\d/\d\d/\d{4}", first)
+        if day.day > 12:
+            a, b, year = map(int, first.split("/"))
+            back = datetime.date(year, b, a) if a > 12 else datetime.date(year, a, b)
+            assert back.isoformat() == iso and b <= 12
+            read.add(first)
+    assert len(read) == sum(d.day > 12 for d in days)
+
+
 def test_different_values_stay_different(spark):
     values = [f"10.0.{i // 256}.{i % 256}" for i in range(3000)]
     got = rewrite(spark, [" ".join(values)])[0]
