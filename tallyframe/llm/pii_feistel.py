@@ -57,6 +57,8 @@ KINDS["card"] = (
     f"(?<![0-9])(?:{CARD}(?:[ -](?!{_NEXT}|{CARD})[0-9]{{1,4}}(?![0-9]))?"
     f"|[0-9](?:[0-9]|[ -](?!{_NEXT}|{CARD})[0-9]){{12,18}}(?![0-9]))"
 )
+# Country codes by their digits, whatever stands between them: those of one and of two digits, else three.
+COUNTRY = r"^\+(?:[17]|2S[07]|3S[0-469]|4S[013-9]|5S[1-8]|6S[0-6]|8S[1246]|9S[0-58]|[0-9]S[0-9]S[0-9])".replace("S", "[ .()-]*")
 DATES = {"iso_date": "yyyy-MM-dd", "dotted_date": "dd.MM.yyyy", "slashed_date": "MM/dd/yyyy"}
 # A slashed date is read day-first where month-first is no date.
 DAY_FIRST = "dd/MM/yyyy"
@@ -85,7 +87,8 @@ def kind_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
         out = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), kind).otherwise(out)
-    return out
+    # A North American number in other groups is the same number.
+    return F.when((out == "phone") & _digits(value).rlike("^1[0-9]{10}$"), "nanp").otherwise(out)
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -131,7 +134,7 @@ def is_valid(value: Column, kind: Column) -> Column:
 
 def _fixed_ends(value: Column, kind: Column) -> tuple[Column, Column]:
     """How many signs at the beginning stay, and the last sign that may change."""
-    country = F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]{1,2}", 0))
+    country = F.length(F.regexp_extract(value, COUNTRY, 0))
     own_country = F.length(F.regexp_extract(value, r"^(?:\+1[ .-]?|1[ .-])", 0))
     before = F.when(kind == "iban", 4).when(kind == "phone", country).when(kind == "nanp", own_country).otherwise(0)
     upto = F.when(kind == "email", F.instr(value, "@") - 1).when(kind == "card", F.length(value) - 1)

@@ -88,6 +88,23 @@ def test_formats_and_links(spark):
     assert [got[i].kinds for i in (0, 2, 4)] == ["email", "nanp,phone", "dotted_date,iso_date,slashed_date"]
 
 
+def test_phones_are_linked_however_they_are_punctuated(spark):
+    forms = {
+        "420": ["+420 123 456 789", "+420123456789", "+42 0123.456.789", "+420-(123)-456789", "+4 20123456789"],
+        "7": ["+7 495 123 45 67", "+74951234567", "+7(495)123-45-67", "+749 5123 4567"],
+        "49": ["+49 30 1234567", "+49301234567", "+493 0123 4567"],
+        "1": ["+1 98 8555 2485", "+19885552485", "+1 (988) 555-2485", "988-555-2485"],
+    }
+    got = rewrite(spark, [" / ".join(f) for f in forms.values()])
+    for i, (code, same) in enumerate(forms.items()):
+        made = got[i].text.split(" / ")
+        assert got[i].n_values == len(same)
+        own = {re.sub(r"\D", "", m).removeprefix(code if m[0] == "+" else "") for m in made}
+        assert len(own) == 1 and own != {re.sub(r"\D", "", same[0]).removeprefix(code)}
+        assert all(re.sub(r"\D", "", m).startswith(code) for m in made if m[0] == "+")
+        assert [re.sub(r"\d", "0", m) for m in made] == [re.sub(r"\d", "0", m) for m in same]
+
+
 def test_short_tokens_behind_a_number(spark):
     card, amex, account = "4111 1111 1111 1111", "3782 822463 10005", "BE68 5390 0754 7034"
     tails = [" 123", " 12/25", " 12 May", " 123-45-6789", " 10.0.0.1", " 12/25/2020", f" {amex}", ""]
