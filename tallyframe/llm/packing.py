@@ -18,8 +18,6 @@ from tallyframe.llm.common import stored
 
 BUCKETS = 16
 BUDGET = 32768
-# Lengths of the histogram between a power of two and the next.
-PER_OCTAVE = 128
 # Batches of a bucket that are filled together.
 CHUNK_BATCHES = 64
 
@@ -30,12 +28,16 @@ def word_tokens(texts: pa.Array) -> pa.Array:
     return pa.array([len(t.as_buffer().to_pybytes().split()) + 1 for t in pc.fill_null(texts, "")], pa.int64())
 
 
-def histogram(lengths: DataFrame, per_octave: int = PER_OCTAVE) -> DataFrame:
-    """Rows of near lengths (column ``n_tokens``): their number ``n``, ``total`` and ``longest``.
+def histogram(lengths: DataFrame, per_octave: int | None = None) -> DataFrame:
+    """A row per length (column ``n_tokens``): the number ``n``, ``total`` and ``longest`` of its documents.
 
-    Lengths share a row when they agree in their leading bits, so there are at most ``per_octave`` rows for every
-    doubling of the length, however many documents there are.
+    Different lengths add up, so there are at most as many rows as the square root of twice the tokens. With
+    ``per_octave`` lengths share a row when they agree in their leading bits, at most so many rows for every
+    doubling of the length.
     """
+    if per_octave is None:
+        n, length = F.count("*").alias("n"), F.col("n_tokens")
+        return lengths.groupBy("n_tokens").agg(n).select("n", (F.col("n") * length).alias("total"), length.alias("longest"))
     step = F.greatest(F.lit(0), F.floor(F.log2("n_tokens")).cast("int") - F.lit(int(np.log2(per_octave))))
     cell = F.expr("shiftleft(shiftright(n_tokens, step), step)")
     return (
@@ -46,6 +48,30 @@ def histogram(lengths: DataFrame, per_octave: int = PER_OCTAVE) -> DataFrame:
     )
 
 
+def _cuts(best: np.ndarray, upto_n: np.ndarray, upto_total: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """For each row j the first i with the least padding when rows i to j are one bucket behind ``best[i]``.
+
+    These i never fall as j rises, so each is looked for between those of its neighbours of twice the stride.
+    """
+    n = len(longest)
+    cut = np.zeros(n, np.int64)
+    stride = 1 << n.bit_length()
+    while stride := stride // 2:
+        at = np.arange(stride - 1, n, 2 * stride)
+        if not len(at):
+            continue
+        low = np.where(at >= stride, cut[np.maximum(at - stride, 0)], 0)
+        high = np.where(at + stride < n, np.minimum(at, cut[np.minimum(at + stride, n - 1)]), at)
+        width = high - low + 1
+        start = width.cumsum() - width
+        i = np.arange(width.sum()) - np.repeat(start - low, width)
+        j = np.repeat(at, width)
+        through = best[i] + (upto_n[j + 1] - upto_n[i]) * longest[j] - (upto_total[j + 1] - upto_total[i])
+        hits = np.flatnonzero(through == np.repeat(np.minimum.reduceat(through, start), width))
+        cut[at] = i[hits[np.unique(j[hits], return_index=True)[1]]]
+    return cut
+
+
 def boundaries(rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
     """The upper bounds of at most ``buckets`` buckets with the least padding.
 
@@ -55,20 +81,16 @@ def boundaries(rows: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list
     rows = sorted(rows, key=lambda r: r[2])
     if not rows:
         return []
-    number, total, longest = (np.array(c, float) for c in zip(*rows, strict=True))
+    number, total, longest = (np.array(c, np.int64) for c in zip(*rows, strict=True))
     n = len(rows)
     upto_n, upto_total = np.concatenate([[0], number.cumsum()]), np.concatenate([[0], total.cumsum()])
-    # padding[i, j]: rows i to j in one bucket.
-    padding = (upto_n[None, 1:] - upto_n[:-1, None]) * longest[None, :] - (upto_total[None, 1:] - upto_total[:-1, None])
-    padding[np.tril_indices(n, -1)] = np.inf
-    best, cuts = np.concatenate([[0], np.full(n, np.inf)]), []
-    for _ in range(min(buckets, n)):
-        through = best[:-1, None] + padding
-        cut = through.argmin(0)
+    cuts = [np.zeros(n, np.int64)]
+    best = np.concatenate([[0], upto_n[1:] * longest - upto_total[1:]])
+    while len(cuts) < min(buckets, n) and best[-1]:
+        cut = _cuts(best, upto_n, upto_total, longest)
         cuts.append(cut)
-        best = np.concatenate([[np.inf], through[cut, np.arange(n)]])
-        if best[-1] == 0:
-            break
+        padding = (upto_n[1:] - upto_n[cut]) * longest - (upto_total[1:] - upto_total[cut])
+        best = np.concatenate([[0], best[cut] + padding])
     out, j = [], n
     for cut in reversed(cuts):
         out.append(int(longest[j - 1]))

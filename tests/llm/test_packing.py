@@ -67,3 +67,22 @@ def test_batches(spark, documents, hard):
 def test_own_lengths(spark, documents):
     rows = pack(documents, tokens=F.length("text") + 1, buckets=2).collect()
     assert Counter(r.n_tokens for r in rows) == Counter(len(r.text) + 1 for r in documents.collect())
+
+
+def test_long_lengths_have_the_least_padding(spark):
+    rng = random.Random(5)
+    lengths = [rng.randrange(16384, 16512) for _ in range(400)]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, text long")
+    rows = pack(docs, tokens=F.col("text"), buckets=4).collect()
+    distinct, k = sorted(set(lengths)), 4
+    best = [0] + [float("inf")] * len(distinct)
+    count = Counter(lengths)
+    for _ in range(k):
+        now = [0] + [float("inf")] * len(distinct)
+        for j in range(1, len(distinct) + 1):
+            cost = 0
+            for i in range(j, 0, -1):
+                cost += count[distinct[i - 1]] * (distinct[j - 1] - distinct[i - 1])
+                now[j] = min(now[j], best[i - 1] + cost)
+        best = now
+    assert sum(r.padded_tokens - r.n_tokens for r in rows) == best[-1]
