@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import fresh
 from tallyframe.llm.html_extract import STOP_WORDS
 
-# Bounds of the training sample: documents, and lines of one document.
+# Bound of the training sample.
 MAX_DOCS = 6000
-MAX_LINES = 300
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -258,11 +257,12 @@ def train(
     text_col: str = "text",
     label_col: str = "quality",
     max_docs: int = MAX_DOCS,
-    max_lines: int = MAX_LINES,
+    max_lines: int | None = None,
 ) -> Model:
     """The model of at most ``max_docs`` labelled documents that aren't held out, chosen by a hash of their id.
 
-    A document with several labels counts as the worst of them. ``max_lines`` lines of a document are used.
+    A document with several labels counts as the worst of them. All lines of a document are used,
+    or its first ``max_lines``.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyframe.llm.quality_crf import _chain_gradient, classify, fit, keep_good, line_features, marginals
+from tallyframe.llm.quality_crf import _chain_gradient, classify, fit, keep_good, line_features, marginals, train
 
 
 def test_marginals_equal_enumeration():
@@ -80,3 +80,12 @@ def test_lines():
     assert line_features(None)[0].shape == (0, features.shape[1])
     assert len(line_features("a\n" * 50, 10)[1]) == 10
     assert fit([]).score("some text") == 0.5
+
+
+def test_training_reads_long_documents_to_their_end(spark):
+    clean = "These are the plain words of a line that reads well.\n"
+    rows = [(i, clean * (30 + i % 7) if i % 2 else clean * 320 + "BUY NOW!!! $$$ 999\n" * 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    read, whole = train(docs, labels), train(docs, labels, max_lines=10**6)
+    assert (read.mean == whole.mean).all() and (read.weights == whole.weights).all()
