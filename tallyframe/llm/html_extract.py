@@ -283,8 +283,14 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
         if any(wanted(b.article) for b in found):
             found = [b for b in found if wanted(b.article)]
             break
+    rules = rules or Rules()
     for block in found:
-        block.verdict = classify(block, rules or Rules())
+        block.verdict = classify(block, rules)
+    if not any(b.article or b.verdict in ("good", "near") for b in found):
+        # Another language, tables or code: without stop words on the whole page, length and links have to do.
+        for block in found:
+            if len(block.text) >= rules.short and block.link_chars <= rules.links * len(block.text.replace(" ", "")):
+                block.verdict = "good" if len(block.text) >= rules.long else "near"
     section: list[Block] = []
     for block in found:
         if section and section[-1].article != block.article:

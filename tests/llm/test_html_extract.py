@@ -49,6 +49,13 @@ def test_cases(name):
     assert main_text(body).split("\n") == (want or [""])
 
 
+def test_page_without_article_and_stop_words():
+    long = " ".join("tämä lause kertoo jotain muuta kielellä jota ohjelma ei tunne".split() * 5)
+    links = "<div><a href=a>yksi linkki vain</a> <a href=b>kaksi</a></div>"
+    body = f"{links}<h2>Otsikko</h2><p>{long}</p><p>{SHORT}</p><p>{long}</p>{links}"
+    assert main_text(page(body)).split("\n") == ["Otsikko", long, SHORT, long]
+
+
 PIECES = ["<", ">", "/", "p", "a ", "<p>", "</p>", "<article>", "</article>", "'", '"', "&amp", ";", "<!--", "-->", "<script>", "div"]
 
 
