@@ -136,3 +136,88 @@ SELECT conv_id, count(*) AS n_turns,
     + count(*) FILTER (last AND CASE role {_leads} END NOT IN ({", ".join(f"'{s}'" for s in _t.final)})))::BIGINT AS n_errors
 FROM turns GROUP BY conv_id
 """
+
+# The reflected CRC-32 of a string, byte by byte, from the table of its polynomial.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+)"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of ``text``; needs ``crc_table`` in scope."""
+    digit = "strpos('123456789ABCDEF', substr(hex(encode({0})), {1}, 1))"
+    high, low = digit.format(text, "2 * i - 1"), digit.format(text, "2 * i")
+    code = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: 16 * {high} + {low})"
+    step = "lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295], {code}), {step}), 4294967295)"
+
+
+def _merkle_rounds(name: str, rounds: int) -> str:
+    """Nodes of every level of the trees in ``{name}0`` (grp, rank, n, hash), and per leaf its path upwards.
+
+    A tree with one node left stays as it is on the levels above.
+    """
+    out = []
+    for k in range(rounds):
+        out.append(f"""{name}{k + 1} AS (
+  SELECT grp, rank // 16 AS rank, max(n) AS n,
+    CASE WHEN max(n) > {16**k} THEN sha256(string_agg(hash, '' ORDER BY rank)) ELSE min(hash) END AS hash
+  FROM {name}{k} GROUP BY grp, rank // 16
+), {name}_sides{k} AS (
+  SELECT *, CASE WHEN n > {16**k} THEN coalesce(string_agg(hash, '') OVER (
+      PARTITION BY grp, rank // 16 ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+    CASE WHEN n > {16**k} THEN coalesce(string_agg(hash, '') OVER (
+      PARTITION BY grp, rank // 16 ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r
+  FROM {name}{k}
+)""")
+    return ",\n".join(out)
+
+
+def _merkle_path(alias: str, rounds: int) -> tuple[str, str]:
+    """Joins of a leaf to the levels above it, and the list of its siblings, left and right of a bar."""
+    joins, steps = "", []
+    for k in range(rounds):
+        side = f"{alias}s{k}"
+        joins += f" JOIN {alias}_sides{k} {side} ON {side}.grp = {alias}0.grp AND {side}.rank = {alias}0.rank // {16**k}"
+        steps.append(f"CASE WHEN {side}.n > {16**k} THEN {side}.l || '|' || {side}.r END")
+    return joins, f"[{', '.join(steps)}]"
+
+
+def _merkle(levels: int = 6, source_levels: int = 4) -> str:
+    def leaf(text: str) -> str:
+        parts = (
+            f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+            for c in ("doc_id", "source", "lang", "n_chars", text)
+        )
+        return f"sha256({' || '.join(parts)})"
+
+    joins, steps = _merkle_path("leaf", levels)
+    top_joins, top_steps = _merkle_path("tree", source_levels)
+    fold = "lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))"
+    return f"""
+WITH {CRC_TABLE}, leaf0 AS (
+  SELECT doc_id, coalesce('+' || source, '-') AS grp, source, {leaf("text")} AS hash,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(LOWER_AZ.format("text"))} END AS tampered,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf("text")}) - 1 AS rank,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM documents, crc_table
+), {_merkle_rounds("leaf", levels)},
+tree0 AS (
+  SELECT 'all' AS grp, l.grp AS member, hash,
+    row_number() OVER (ORDER BY s.source NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM leaf{levels} l JOIN (SELECT DISTINCT grp, source FROM leaf0) s USING (grp)
+), {_merkle_rounds("tree", source_levels)},
+upper_part AS (SELECT tree0.member, tree0.hash AS subroot, {top_steps} AS steps FROM tree0{top_joins}),
+proofs AS (
+  SELECT leaf0.doc_id, leaf0.hash AS leaf, coalesce(leaf0.tampered, leaf0.hash) AS given, subroot,
+    list_filter(list_concat({steps}, upper_part.steps), lambda s: s IS NOT NULL) AS steps
+  FROM leaf0{joins} JOIN upper_part ON member = leaf0.grp
+)
+SELECT doc_id, leaf, subroot, t.hash AS root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+  list_reduce(steps, {fold}, given) AS folded_root, folded_root = root AS verified
+FROM proofs CROSS JOIN tree{source_levels} t
+"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle()

@@ -14,6 +14,7 @@ from tallyframe.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    merkle_manifest,
     packing,
     pii_feistel,
     quality_crf,
@@ -23,6 +24,8 @@ from tallyframe.llm import (
 )
 from tallyframe.llm.common import table
 
+AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -155,3 +158,21 @@ def op9_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", AZ, LOWER_AZ)
+    fields = [lowered if c == "text" else F.col(c) for c in merkle_manifest.FIELDS]
+    # What a reader of the data would compute as the leaf: of some rows the text was tampered with.
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle_manifest.leaf_digest(*fields))
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    folded = merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
