@@ -221,3 +221,34 @@ FROM proofs CROSS JOIN tree{source_levels} t
 
 
 ORACLES["op13_merkle_manifest"] = _merkle()
+
+# Two words are near if one is the other less a code point, or both are alike without the code point at one place.
+ORACLES["op11_variant_grouping"] = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER_AZ.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run
+), sums AS (
+  SELECT *, {crc32("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs, crc_table
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM sums
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), less AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) t(i)
+), pairs AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), known AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN known USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM chain c JOIN formed f ON f.form = c.word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
+"""

@@ -14,6 +14,7 @@ from tallyframe.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    lattice_lm,
     merkle_manifest,
     packing,
     pii_feistel,
@@ -21,6 +22,7 @@ from tallyframe.llm import (
     simhash_covering,
     substring_dedup,
     url_filter,
+    variant_grouping,
 )
 from tallyframe.llm.common import table
 
@@ -160,6 +162,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_grouping.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", AZ, LOWER_AZ)

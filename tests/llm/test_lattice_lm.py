@@ -1,0 +1,150 @@
+import re
+import zlib
+from collections import Counter
+from math import exp, log, log10
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.llm import lattice_lm
+from tallyframe.llm.lattice_lm import BYTES, END, MARK, SPECIAL, Lattice, read_pieces, refitted, score
+
+PIECES = read_pieces(lattice_lm.VOCABULARY)
+
+
+def split(text):
+    """All segmentations of a short text: lists of piece names."""
+    if not text:
+        yield []
+        return
+    for n in range(1, len(text) + 1):
+        head = text[:n]
+        if head in PIECES and head not in SPECIAL:
+            for rest in split(text[n:]):
+                yield [head, *rest]
+    if text[0] not in PIECES or text[0] in SPECIAL:
+        for rest in split(text[1:]):
+            yield [*(BYTES[b] for b in text[0].encode()), *rest]
+
+
+def weight(pieces, path):
+    return exp(sum(pieces[p] for p in path))
+
+
+def words_of(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in re.split("[\x20\x09-\x0d]", text) if w]
+
+
+WORDS = ["a", "the", "hello", "école", "日本", "nul\x00x", "x▁y", "<0x41>", "</s>", "ﷺ😀", "notions"]
+
+
+@pytest.mark.parametrize("word", WORDS)
+def test_sum_over_all_segmentations(word):
+    whole = sum(weight(PIECES, path) for path in split(MARK + word))
+    lattice = Lattice(PIECES)
+    together = dict(zip(WORDS, lattice.log_probabilities(WORDS), strict=True))
+    assert together[word] == pytest.approx(log(whole), abs=1e-9)
+    assert lattice.log_probabilities([word])[0] == pytest.approx(log(whole), abs=1e-9)
+
+
+def test_expected_counts():
+    lattice, want = Lattice(PIECES), Counter()
+    times = {w: float(i + 1) for i, w in enumerate(WORDS)}
+    for word, n in times.items():
+        paths = [(weight(PIECES, p), p) for p in split(MARK + word)]
+        for w, path in paths:
+            for piece in path:
+                want[piece] += n * w / sum(x for x, _ in paths)
+    got = lattice.expected(list(times), np.array(list(times.values())))
+    for name, count in zip(lattice.names, got, strict=True):
+        assert count == pytest.approx(want[name], abs=1e-9)
+
+
+def test_probabilities_add_up():
+    assert sum(map(exp, PIECES.values())) == pytest.approx(1)
+    assert sum(map(exp, refitted(PIECES, {"▁the": 5.0, END: 2.0}).values())) == pytest.approx(1)
+    assert all(MARK not in p[1:] for p in PIECES)
+
+
+def test_refitting_raises_the_likelihood():
+    words, pieces = ["notion", "notions", "nation", "ration", "onion"], PIECES
+    seen = []
+    for _ in range(3):
+        lattice = Lattice(pieces)
+        seen.append(lattice.log_probabilities(words).sum() + pieces[END])
+        counts = dict(zip(lattice.names, lattice.expected(words, np.full(len(words), 100.0)), strict=True))
+        pieces = refitted(PIECES, counts | {END: 100.0})
+    assert seen == sorted(seen) and seen[1] > seen[0] + 3
+
+
+def brute(rows, rounds=lattice_lm.ROUNDS):
+    def out(doc):
+        return doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
+
+    c = Counter(w for d, t in rows if not out(d) for w in words_of(t))
+    ends = sum(not out(d) for d, _ in rows)
+    n, v = sum(c.values()) + ends, len(c) + (ends > 0)
+    pieces = PIECES
+    for _ in range(rounds if n else 0):
+        lattice = Lattice(pieces)
+        found = lattice.expected(list(c), np.array(list(map(float, c.values())))) if c else np.zeros(len(lattice.names))
+        pieces = refitted(PIECES, dict(zip(lattice.names, found, strict=True)) | {END: float(ends)})
+    lattice, result = Lattice(pieces), []
+
+    def base(k):
+        return log10((k + 0.5) / (n + 0.5 * (v + 1)))
+
+    for doc, text in rows:
+        said = words_of(text)
+        logs = lattice.log_probabilities(said).sum() if said else 0.0
+        result.append(
+            (doc, out(doc), len(said) + 1, sum(w in c for w in said) + (ends > 0), n,
+             sum(base(c[w]) for w in said) + base(ends), (logs + pieces[END]) / log(10))
+        )
+    return result
+
+
+def check(docs, **options):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((tuple(r) for r in score(docs, **options).collect()), key=lambda r: (str(r[:3]), r[5]))
+    want = sorted(brute(rows), key=lambda r: (str(r[:3]), r[5]))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+    return got
+
+
+def test_documents(documents):
+    docs = documents.where("doc_id < 80")
+    got = check(docs, chunk_chars=5000)
+    assert {r[1] for r in got} == {True, False} and all(r[6] < 0 for r in got)
+
+
+def test_hard_texts(hard):
+    check(hard.repartition(3))
+
+
+def test_few_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert score(docs).collect() == []
+    held_out = next(i for i in range(99) if lattice_lm.held_out(i))
+    row = check(spark.createDataFrame([(held_out, "No Training here")], docs.schema))[0]
+    assert row[:6] == (held_out, True, 4, 0, 0, 0.0) and row[6] < 0
+    check(spark.createDataFrame([(None, None), (None, "")], docs.schema))
+
+
+def test_frequent_word_costs_one_row_per_chunk(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("same "), 50).alias("text"))
+    chunks = lattice_lm._chunked(docs.repartition(4), "doc_id", "text", 50_000)
+    assert chunks.agg(F.max(F.size("words")), F.max(F.size("ids"))).first()[:] == (1, 200)
+    assert chunks.select(F.explode("ids")).distinct().count() == 3000
+
+
+def test_training_improves_held_out_text(documents):
+    def held_out_score(rounds):
+        rows = score(documents, rounds=rounds).where("held_out")
+        return rows.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+
+    assert held_out_score(2) > held_out_score(0) + 0.3
