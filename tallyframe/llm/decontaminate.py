@@ -1,33 +1,33 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items.
 
-Texts are normalised to lower-case words between single spaces. Every window of an item, with a space at both
-ends, is a pattern of the automaton, and each document is scanned once. Normalising keeps byte positions, so a
-hit is mapped back to the original text.
+Texts are normalised to lower-case words. The words of the benchmark are numbered, every window of an item is a
+pattern of the automaton over these numbers, and each document is scanned once, as a sequence of numbers. Normalising
+keeps byte positions, so a hit is mapped back to the original text.
+
+A task holds the automaton, one batch as it came, and the words of one document.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyframe.llm.common import fresh, stored
 
 WINDOW = 13
-# Windows of one automaton, in bytes of text; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 32 << 20
-RESULT = (
-    "struct<n_words:bigint,n_hit:bigint,items:array<{kind}>,spans:array<struct<from:int,upto:int>>,contaminated:boolean>"
-)
+# Windows of one automaton, in bytes of text; an automaton takes about 7 times as much. A larger benchmark is
+# scanned for in one job per block.
+BLOCK_BYTES = 8 << 20
+HIT = "struct<n_words:bigint,n_hit:bigint,items:array<{kind}>,spans:array<struct<from:int,upto:int>>,contaminated:boolean>"
+FOUND = "struct<n_words:bigint,ranges:array<struct<from:int,upto:int>>,items:array<{kind}>>"
 
-# The Arrow type of an item id.
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 # A word byte stays (A-Z in lower case), any other becomes a space. Bytes from 0x80 belong to words.
 _KEPT = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -72,12 +72,28 @@ def _blocks(windows: DataFrame, block_bytes: int) -> list:
     return out
 
 
-def _automaton(rows: list[tuple[str, list]]) -> ahocorasick.Automaton:
-    made = ahocorasick.Automaton()
-    for window, ids in rows:
-        made.add_word(f" {window} ", (window.count(" ") + 1, len(window) + 2, ids))
-    made.make_automaton()
-    return made
+class Scanner:
+    """Finds all windows in a text: ``ranges`` of word numbers and the ids of the ``items``."""
+
+    def __init__(self, rows: list[tuple[str, list]]) -> None:
+        self.number: dict[bytes, int] = {}
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in rows:
+            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in window.encode().split())
+            self.found.add_word(words, (len(words), ids))
+        self.found.make_automaton()
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set]:
+        words = normalised(text).split()
+        ranges: list[tuple[int, int]] = []
+        items: set = set()
+        if self.number:
+            # Bound to a name: the iterator does not keep the sequence alive.
+            numbers = tuple([self.number.get(w, 0) for w in words])
+            for end, (length, ids) in self.found.iter(numbers):
+                ranges.append((end + 1 - length, end + 1))
+                items.update(ids)
+        return len(words), ranges, items
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,73 +106,104 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(
-    text: Column | str,
+def _spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Ranges of words as code point positions in ``text``."""
+    data, at, point, byte = text.encode(), [], 0, 0
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", normalised(text))]
+    for place in (p for a, b in ranges for p in (words[a][0], words[b - 1][1])):
+        point, byte = point + len(data[byte:place].decode()), place
+        at.append(point)
+    return [{"from": a, "upto": b} for a, b in zip(at[::2], at[1::2], strict=True)]
+
+
+def _judged(text: str, n: int, ranges: list[tuple[int, int]], items: set, share: int) -> dict:
+    whole = _union(ranges)
+    n_hit = sum(b - a for a, b in whole)
+    return {
+        "n_words": n,
+        "n_hit": n_hit,
+        "items": sorted((i for i in items if i is not None), key=str),
+        "spans": _spans(text, whole) if whole else [],
+        "contaminated": n_hit > 0 and share * n_hit >= n,
+    }
+
+
+def _arrow_types(kind: pa.DataType) -> tuple[pa.DataType, pa.DataType]:
+    """The Arrow types of ``HIT`` and ``FOUND`` for items with ids of this type."""
+    n, ids = ("n_words", pa.int64()), ("items", pa.list_(kind))
+    pairs = pa.list_(pa.struct([("from", pa.int32()), ("upto", pa.int32())]))
+    hit = pa.struct([n, ("n_hit", pa.int64()), ids, ("spans", pairs), ("contaminated", pa.bool_())])
+    return hit, pa.struct([n, ("ranges", pairs), ids])
+
+
+def _scanning(block: Broadcast, ddl: str, arrow: pa.DataType, made: Callable[..., dict]) -> Callable:
+    """A column function over texts: ``made`` of each text and what a scan for ``block`` finds in it."""
+
+    @F.arrow_udf(ddl)
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = Scanner(block.value)
+        for batch in batches:
+            texts = (t.as_py() or "" for t in batch)
+            yield pa.array([made(t, *scanner.scan(t)) for t in texts], arrow)
+
+    return scanned
+
+
+def mark(
+    docs: DataFrame,
     items: DataFrame,
+    name: str,
     id_col: str = "item_id",
     text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
     share: int = 20,
-) -> Column:
-    """A struct column over ``text``: ``n_words``, ``n_hit``, ``items`` (sorted as strings), ``spans``, ``contaminated``.
+) -> DataFrame:
+    """``docs`` with a struct ``name``: ``n_words``, ``n_hit``, ``items`` (sorted as strings), ``spans``, ``contaminated``.
 
     ``spans`` are the hit passages as code point positions in the original text. A text is contaminated when it
     has a hit and at least one word in ``share`` is hit. Item windows go to the executors in blocks of at most
-    ``block_bytes``, one automaton at a time, so a benchmark of any size can be used.
+    about ``block_bytes``. With several blocks there is one job for each, which stores the hits of the documents
+    that have any; these are then united per document.
     """
-    windows = item_windows(items, id_col, text_col, window)
-    kind = items.schema[id_col].dataType.simpleString()
-    blocks = _blocks(windows, block_bytes)
-    one_block = len(blocks) == 1
-
-    def judge(original: str, words: bytes, n: int, ranges: list[tuple[int, int]], found: set) -> dict:
-        if not ranges:
-            return {"n_words": n, "n_hit": 0, "items": [], "spans": [], "contaminated": False}
-        data = original.encode()
-        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", words)]
-        spans, n_hit = [], 0
-        for a, b in _union(ranges):
-            n_hit += b - a
-            left = len(data[: at[a][0]].decode())
-            spans.append({"from": left, "upto": left + len(data[at[a][0] : at[b - 1][1]].decode())})
-        items = sorted(found, key=str)
-        return {"n_words": n, "n_hit": n_hit, "items": items, "spans": spans, "contaminated": share * n_hit >= n}
-
-    @F.arrow_udf(RESULT.format(kind=kind))
-    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        result = pa.struct(
-            [
-                ("n_words", pa.int64()),
-                ("n_hit", pa.int64()),
-                ("items", pa.list_(ITEM_TYPES[kind])),
-                ("spans", pa.list_(pa.struct([("from", pa.int32()), ("upto", pa.int32())]))),
-                ("contaminated", pa.bool_()),
-            ]
-        )
-        automaton = _automaton(blocks[0].value) if one_block else None
-        for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            words = [normalised(t) for t in texts]
-            split = [w.split() for w in words]
-            plain = [f" {b' '.join(s).decode()} " for s in split]
-            ranges, found = [[] for _ in texts], [set() for _ in texts]
-            for block in blocks:
-                now = automaton or _automaton(block.value)
-                if not len(now):
-                    continue
-                for i, text in enumerate(plain):
-                    matches = list(now.iter(text))
-                    # Where each word begins, once there is a hit to place.
-                    starts = matches and list(accumulate((len(w.decode()) + 1 for w in split[i][:-1]), initial=1))
-                    for end, (n_words, length, ids) in matches:
-                        first = bisect_left(starts, end - length + 2)
-                        ranges[i].append((first, first + n_words))
-                        found[i].update(ids)
-            rows = [judge(t, w, len(s), r, f) for t, w, s, r, f in zip(texts, words, split, ranges, found, strict=True)]
-            yield pa.array(rows, result)
-
-    return scanned(F.col(text).cast("string") if isinstance(text, str) else text)
+    kind = items.schema[id_col].dataType
+    blocks = _blocks(item_windows(items, id_col, text_col, window), block_bytes)
+    hit_ddl, found_ddl = (d.format(kind=kind.simpleString()) for d in (HIT, FOUND))
+    hit_arrow, found_arrow = _arrow_types(to_arrow_type(kind))
+    text = F.col(text_col).cast("string")
+    if len(blocks) == 1:
+
+        def judged(original: str, n: int, ranges: list, found: set) -> dict:
+            return _judged(original, n, ranges, found, share)
+
+        return docs.withColumn(name, _scanning(blocks[0], hit_ddl, hit_arrow, judged)(text))
+
+    row, hits = fresh(docs, "row"), fresh(docs, "hits")
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+
+    def found_rows(_: str, n: int, ranges: list, found: set) -> dict:
+        pairs = [{"from": a, "upto": b} for a, b in _union(ranges)]
+        return {"n_words": n, "ranges": pairs, "items": sorted((i for i in found if i is not None), key=str)}
+
+    found = None
+    for block in blocks:
+        scan = _scanning(block, found_ddl, found_arrow, found_rows)
+        part = docs.select(row, scan(text).alias("found")).where(F.size("found.ranges") > 0)
+        part = stored(part.select(row, "found.ranges", "found.items"), "hits")
+        found = part if found is None else found.unionByName(part)
+    united_hits = (F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "items"))
+    per_row = found.groupBy(row).agg(F.struct(*united_hits).alias(hits))
+
+    @F.arrow_udf(hit_ddl)
+    def united(texts: pa.Array, all_hits: pa.Array) -> pa.Array:
+        out = []
+        for text, hit in zip(texts, all_hits, strict=True):
+            text, hit = text.as_py() or "", hit.as_py() or {"ranges": [], "items": []}
+            ranges = [(x["from"], x["upto"]) for x in hit["ranges"]]
+            out.append(_judged(text, len(normalised(text).split()), ranges, set(hit["items"]), share))
+        return pa.array(out, hit_arrow)
+
+    return docs.join(per_row, row, "left").withColumn(name, united(text, F.col(hits))).drop(row, hits)
 
 
 def decontaminate(
@@ -167,7 +214,7 @@ def decontaminate(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: ``id_col`` and the fields of ``hits``.
+    """One row per document: ``id_col`` and the fields of ``mark``.
 
     Words are runs of digits, letters a-z and non-ASCII characters after lower-casing A-Z. An item with fewer
     than ``window`` words is one window; one without words has none. A null text has no words, and neither nulls
@@ -175,12 +222,13 @@ def decontaminate(
     items with a null id mark words but are not listed. Empty tables give no hits or no rows; other columns are
     not read.
     """
-    found = hits(text_col, items, window=window, block_bytes=block_bytes)
-    return docs.select(F.col(id_col), found.alias("hit")).select(id_col, "hit.*")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    found = mark(rows, items, "hit", window=window, block_bytes=block_bytes)
+    return found.select(F.col("doc").alias(id_col), "hit.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that ``decontaminate`` does not mark, with all their columns."""
     name = fresh(docs, "hit")
-    marked = docs.withColumn(name, hits(text_col, items, window=window))
+    marked = mark(docs, items, name, "item_id", text_col, window)
     return marked.where(~F.col(name)["contaminated"]).drop(name)
