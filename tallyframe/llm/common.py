@@ -14,14 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, with the session's or the given compression, and read back.
 
     This cuts the lineage, so a lost executor does not repeat the work before it, and gives later joins
     exchanges of their own, which adaptive execution can split.
     """
     path = new_folder(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,9 @@ up all paths through the lattice of a word; a character that the vocabulary lack
 Re-estimation by expected counts (forward and backward over the lattices of all distinct training words, weighted by
 their counts) fits the weights of the pieces to the corpus.
 
-Texts are cut into chunks of bounded size with their distinct words. Counts and word scores are joined to the words
-of a chunk, not to tokens, and return to the chunk as one array, so a frequent word costs one row per chunk.
+Texts are cut into chunks of bounded size: their distinct words, and each text as a bag of places in that list.
+Counts and word scores are joined to the words of a chunk, not to tokens, and return to the chunk as one array, so a
+frequent word costs one row per chunk, and texts are read once and never moved.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 END = "</s>"
 # Code points of text in one chunk, unless one text alone has more.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 22
 ROUNDS = 2
 FOLDS, HELD_OUT = 5, 1
 # The vocabulary's own weights count as so many pieces seen, so that none becomes impossible.
@@ -173,54 +174,79 @@ def _groups(words: list[str], size: int = 1 << 18) -> Iterator[slice]:
         yield slice(first, len(words))
 
 
+def packed(bags: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Sparse rows (places in ascending order, counts) in compressed form."""
+    sizes = np.array([len(places) for places, _ in bags], np.uint32)
+    steps = [np.diff(places, prepend=0).astype(np.uint32) for places, _ in bags]
+    counts = [c.astype(np.uint32) for _, c in bags]
+    plain = b"".join(x.tobytes() for x in (sizes, *steps, *counts))
+    # Bytes of equal weight side by side compress better.
+    turned = np.frombuffer(plain, np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.compress(turned, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sizes`` of the rows, and their ``places`` and ``counts`` one after the other; ``size`` pairs in all."""
+    turned = pa.decompress(data, 4 * (rows + 2 * size), codec="zstd", asbytes=True)
+    plain = np.frombuffer(np.frombuffer(turned, np.uint8).reshape(4, -1).T.tobytes(), np.uint32)
+    sizes, steps, counts = plain[:rows].astype(np.int64), plain[rows : rows + size], plain[rows + size :]
+    ends = np.cumsum(sizes)
+    running = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], running])[ends - sizes]
+    return sizes, running - np.repeat(before, sizes), counts
+
+
+def _bag(counted: Counter, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    places = np.fromiter((place.setdefault(w, len(place)) for w in counted), np.int64, len(counted))
+    counts = np.fromiter(counted.values(), np.int64, len(counted))
+    order = np.argsort(places)
+    return places[order], counts[order]
+
+
 def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
-    """Chunks of whole rows: ``chunk``, ``ids``, ``texts``, the distinct ``words`` and their counts in ``training`` rows."""
+    """Chunks of whole rows: ``chunk``, ``ids``, their ``bags`` of words by place, with ``size`` pairs in all; the
+    distinct ``words`` and how often each stands in ``training`` rows, and the number of these."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = (
-        f"chunk long, ids array<{id_type}>, texts array<string>, words array<string>, training array<bigint>, "
+        f"chunk long, ids array<{id_type}>, bags binary, size long, words array<string>, training array<bigint>, "
         "training_docs long"
     )
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        ids: list = []
-        texts: list[str | None] = []
-        counts: Counter[str] = Counter()
-        size, training, id_arrow = 0, 0, None
-
-        def made() -> pa.RecordBatch:
-            columns = [
-                pa.array([number], pa.int64()),
-                pa.array([ids], pa.list_(id_arrow)),
-                pa.array([texts], pa.list_(pa.string())),
-                pa.array([list(counts)], pa.list_(pa.string())),
-                pa.array([list(counts.values())], pa.list_(pa.int64())),
-                pa.array([training], pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+    def made(number: int, ids: list, bags: list, place: dict[str, int], id_arrow: pa.DataType) -> pa.RecordBatch:
+        training = np.zeros(len(place), np.int64)
+        trained = [bag for i, bag in zip(ids, bags, strict=True) if not held_out(i)]
+        for places, counts in trained:
+            training[places] += counts
+        columns = [
+            pa.array([number], pa.int64()),
+            pa.array([ids], pa.list_(id_arrow)),
+            pa.array([packed(bags)], pa.binary()),
+            pa.array([sum(len(p) for p, _ in bags)], pa.int64()),
+            pa.array([list(place)], pa.list_(pa.string())),
+            pa.array([training], pa.list_(pa.int64())),
+            pa.array([len(trained)], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 33, 0
+        ids, bags, place = [], [], {}
         for batch in batches:
-            id_arrow = batch.column(0).type
             for doc, text in zip(*batch.columns, strict=True):
-                doc, text = doc.as_py(), text.as_py()
-                ids.append(doc)
-                texts.append(text)
+                text = text.as_py()
+                ids.append(doc.as_py())
+                bags.append(_bag(Counter(words_of(text)), place))
                 size += len(text or "")
-                if held_out(doc):
-                    for word in words_of(text):
-                        counts.setdefault(word, 0)
-                else:
-                    training += 1
-                    counts.update(words_of(text))
                 if size >= chunk_chars:
-                    yield made()
-                    ids, texts, counts, size, training = [], [], Counter(), 0, 0
-                    number += 1
+                    yield made(number, ids, bags, place, batch.column(0).type)
+                    number, size = number + 1, 0
+                    ids, bags, place = [], [], {}
+            kind = batch.column(0).type
         if ids:
-            yield made()
+            yield made(number, ids, bags, place, kind)
 
-    return stored(rows.mapInArrow(chunks, schema), "lm-chunks")
+    return stored(rows.mapInArrow(chunks, schema), "lm-chunks", "zstd")
 
 
 def _per_word(words: DataFrame, pieces: Broadcast, work: Callable, schema: str) -> DataFrame:
@@ -285,17 +311,17 @@ def score(
     places = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "training"))).select(
         "chunk", "pos", F.col("col.words").alias("word"), F.col("col.training").alias("c")
     )
-    words = stored(places.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    words = stored(places.groupBy("word").agg(F.sum("c").alias("c")), "lm-words", "zstd")
     training_docs = chunks.agg(F.sum("training_docs")).first()[0] or 0
     sums = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (sums.n or 0) + training_docs, sums.v + (training_docs > 0)
     pieces = train(words, training_docs, read_pieces(vocabulary), rounds if n else 0)
     shared = spark.sparkContext.broadcast(pieces)
-    scored = stored(_per_word(words, shared, _word_scores, "word string, c long, logp double"), "lm-scores")
+    scored = stored(_per_word(words, shared, _word_scores, "word string, c long, logp double"), "lm-scores", "zstd")
     back = places.select("chunk", "pos", "word").join(scored, "word").groupBy("chunk")
     back = back.agg(F.sort_array(F.collect_list(F.struct("pos", "c", "logp"))).alias("known"))
-    joined = chunks.select("chunk", "ids", "texts", "words").join(back, "chunk", "left").select(
-        "ids", "texts", "words", F.col("known.c").alias("c"), F.col("known.logp").alias("logp")
+    joined = chunks.select("chunk", "ids", "bags", "size").join(back, "chunk", "left").select(
+        "ids", "bags", "size", F.col("known.c").alias("c"), F.col("known.logp").alias("logp")
     )
     whole = n + 0.5 * (v + 1)
     end_base, end_score = log10((training_docs + 0.5) / whole), pieces[END] / log(10)
@@ -304,25 +330,25 @@ def score(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, words, c, logp in zip(*batch.columns, strict=True):
-                keys = words.as_py()
-                base = [log10((k + 0.5) / whole) for k in c.as_py() or []]
-                known = {w: (k > 0, b, p) for w, k, b, p in zip(keys, c.as_py() or [], base, logp.as_py() or [], strict=True)}
-                out: list[tuple] = []
-                for doc, text in zip(ids.as_py(), texts.values, strict=True):
-                    said = [known[w] for w in words_of(text.as_py())]
-                    out.append(
-                        (
-                            doc,
-                            held_out(doc),
-                            len(said) + 1,
-                            sum(x[0] for x in said) + (training_docs > 0),
-                            sum(x[1] for x in said) + end_base,
-                            sum(x[2] for x in said) + end_score,
-                        )
-                    )
-                kinds = [ids.values.type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            for ids, bags, size, c, logp in zip(*batch.columns, strict=True):
+                docs = ids.as_py()
+                sizes, places, times = unpacked(bags.as_py(), len(docs), size.as_py())
+                seen = c.values.to_numpy() if c.is_valid else np.zeros(0, np.int64)
+                logs = logp.values.to_numpy() if logp.is_valid else np.zeros(0)
+                base = np.log10((seen + 0.5) / whole)
+                row = np.repeat(np.arange(len(docs)), sizes)
+
+                def total(values: np.ndarray, row: np.ndarray = row, times: np.ndarray = times, n: int = len(docs)):
+                    return np.bincount(row, values * times, n)
+
+                columns = [
+                    ids.values,
+                    pa.array([held_out(i) for i in docs]),
+                    pa.array((total(np.ones(len(row))) + 1).astype(np.int64)),
+                    pa.array((total(seen[places] > 0) + (training_docs > 0)).astype(np.int64)),
+                    pa.array(total(base[places]) + end_base),
+                    pa.array(total(logs[places]) + end_score),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     judged = joined.mapInArrow(

@@ -142,6 +142,13 @@ def test_frequent_word_costs_one_row_per_chunk(spark):
     assert chunks.select(F.explode("ids")).distinct().count() == 3000
 
 
+def test_packed_bags():
+    bags = [(np.array([0, 3, 70000]), np.array([1, 500, 2])), (np.array([], int), np.array([], int)), (np.array([9]), np.array([1]))]
+    sizes, places, counts = lattice_lm.unpacked(lattice_lm.packed(bags), 3, 4)
+    assert sizes.tolist() == [3, 0, 1] and places.tolist() == [0, 3, 70000, 9] and counts.tolist() == [1, 500, 2, 1]
+    assert [x.tolist() for x in lattice_lm.unpacked(lattice_lm.packed([bags[1]]), 1, 0)] == [[0], [], []]
+
+
 def test_training_improves_held_out_text(documents):
     def held_out_score(rounds):
         rows = score(documents, rounds=rounds).where("held_out")
