@@ -8,7 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.params import DEFAULT_RATE, Params
-from tallyframe.plans.jobs import run_ingest, run_recompute, run_sync
+from tallyframe.plans.jobs import run_ingest_files, run_recompute, run_sync
 from tallyframe.schemas import BILLING_USAGE, QUERY_HISTORY
 from tallyframe.sources.state import create_state
 from tallyframe.sources.views import query_history
@@ -19,12 +19,12 @@ def _history(spark: SparkSession, args: argparse.Namespace, params: Params) -> D
 
 
 def _ingest(spark: SparkSession, args: argparse.Namespace, params: Params, now: datetime) -> None:
-    run_ingest(spark, args.root, _history(spark, args, params), params)
+    run_ingest_files(spark, args.root, args.history, params, now)
 
 
 def _recompute(spark: SparkSession, args: argparse.Namespace, params: Params, now: datetime) -> None:
     billing = spark.read.schema(BILLING_USAGE).parquet(args.billing)
-    run_recompute(spark, args.root, _history(spark, args, params), billing, params)
+    run_recompute(spark, args.root, _history(spark, args, params), billing, params, only_changed=True, now=now)
 
 
 def _sync(spark: SparkSession, args: argparse.Namespace, params: Params, now: datetime) -> None:

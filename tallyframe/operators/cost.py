@@ -13,6 +13,17 @@ from tallyframe.params import CURRENT_FROM, Params
 _DAY = ["d", "warehouse_id"]
 
 
+def executions(prints: DataFrame) -> DataFrame:
+    """Rows with a number of executions ``n`` and their milliseconds ``ms``.
+
+    Statements count as one each; a roll-up has both columns and is taken as it is. All that counts executions
+    works on either.
+    """
+    if {"n", "ms"} <= set(prints.columns):
+        return prints
+    return prints.withColumns({"n": F.lit(1).cast("long"), "ms": F.col("total_duration_ms")})
+
+
 def _usage() -> Column:
     return F.sum(F.col("usage_quantity").cast("double"))
 
@@ -50,9 +61,9 @@ def warehouse_duration(
 ) -> DataFrame:
     """Milliseconds per warehouse-day; a NULL warehouse is a group of its own."""
     return (
-        _within(prints, lo or params.ago(params.lookback), hi)
+        _within(executions(prints), lo or params.ago(params.lookback), hi)
         .groupBy(*_DAY)
-        .agg(F.sum("total_duration_ms").alias("tot_ms"))
+        .agg(F.sum("ms").alias("tot_ms"))
     )
 
 
@@ -75,9 +86,9 @@ def _priced_units(
     while the join sees one row per fingerprint and warehouse-day instead of one per statement.
     """
     units = (
-        _within(prints, lo, hi)
+        _within(executions(prints), lo, hi)
         .groupBy("ck", *_DAY)
-        .agg(F.count("*").alias("n"), F.sum("total_duration_ms").alias("ms"))
+        .agg(F.sum("n").alias("n"), F.sum("ms").alias("ms"))
     )
     share = F.col("ms") / F.nullif(F.col("tot_ms"), F.lit(0))
     return spread_join(units, rate, _DAY, F.col("ck"), how).withColumn("usd", F.col("wh_usd") * share)

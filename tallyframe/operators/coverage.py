@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import is_gateway_routed, utc_day, utc_midnight
+from tallyframe.operators.predicates import of_days
 from tallyframe.params import Params
 
 
@@ -22,11 +25,13 @@ def coverage_ratio() -> Column:
     return exact.cast("double").alias("coverage_ratio")
 
 
-def coverage_daily(history: DataFrame, params: Params) -> DataFrame:
-    """Routed and total statements per day; statements of every status count."""
+def coverage_daily(history: DataFrame, params: Params, days: list[date] | None = None) -> DataFrame:
+    """Routed and total statements per day; statements of every status count. ``days`` picks some of the lookback."""
+    seen = history.where(F.col("start_time") >= utc_midnight(params.ago(params.lookback)))
+    if days is not None:
+        seen = of_days(seen, days)
     return (
-        history.where(F.col("start_time") >= utc_midnight(params.ago(params.lookback)))
-        .groupBy(utc_day("start_time").alias("d"))
+        seen.groupBy(utc_day("start_time").alias("d"))
         .agg(*coverage_counts())
         .select("d", "gateway_routed", "total", coverage_ratio())
     )

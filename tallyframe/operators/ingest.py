@@ -98,10 +98,3 @@ def days_with_news(history: DataFrame, prints: DataFrame) -> list[date]:
     seen = seen.select(utc_day("start_time").alias("d"), "statement_id")
     missing = seen.join(prints.select("d", "statement_id"), ["d", "statement_id"], "left_anti")
     return sorted(r.d for r in missing.select("d").distinct().collect())
-
-
-def of_days(history: DataFrame, days: list[date]) -> DataFrame:
-    """The statements of these days; the range of the days reaches the scan."""
-    start = F.col("start_time")
-    span = (start >= utc_midnight(min(days))) & (start < utc_midnight(max(days) + timedelta(days=1)))
-    return history.where(span & utc_day("start_time").isin(*days))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions import utc_day, utc_midnight
 from tallyframe.params import Params
 
 
@@ -20,6 +21,15 @@ def since(history: DataFrame, position: datetime | Column) -> DataFrame:
     return history.where(F.col("start_time") > bound.cast("timestamp"))
 
 
+def of_days(history: DataFrame, days: list[date]) -> DataFrame:
+    """The statements of these days; the range of the days reaches the scan."""
+    if not days:
+        return history.limit(0)
+    start = F.col("start_time")
+    span = (start >= utc_midnight(min(days))) & (start < utc_midnight(max(days) + timedelta(days=1)))
+    return history.where(span & utc_day("start_time").isin(*days))
+
+
 def last_days(df: DataFrame, params: Params, days: int) -> DataFrame:
     """Rows from day ``-days`` on. Both ends count, so 30 days span 31 dates; no upper bound."""
     return df.where(F.col("d") >= params.day(days))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.cost import executions
 from tallyframe.operators.joins import spread_join
 from tallyframe.operators.predicates import last_days
 from tallyframe.params import Params
@@ -43,11 +44,11 @@ def redundancy_table(prints: DataFrame, params: Params) -> DataFrame:
     only sees one row per rule. Seconds are a decimal sum, rounded half up.
     """
     per_rule = (
-        last_days(prints, params, params.lookback)
+        last_days(executions(prints), params, params.lookback)
         .groupBy("ck", "rule_id")
         .agg(
-            F.count("*").alias("n"),
-            F.sum("total_duration_ms").alias("ms"),
+            F.sum("n").alias("n"),
+            F.sum("ms").alias("ms"),
             F.min("d").alias("lo"),
             F.max("d").alias("hi"),
         )

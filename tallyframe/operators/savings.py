@@ -7,16 +7,20 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.cost import attributed_cost, current_costs, warehouse_cost
+from tallyframe.operators.apportion import apportion
+from tallyframe.operators.cost import attributed_cost, current_costs, executions, warehouse_cost, waterfall_daily
 from tallyframe.operators.predicates import between_days, last_days
 from tallyframe.params import BASELINE_DAYS, BASELINE_FROM, BASELINE_TO, CURRENT_FROM, Params
 
+# Savings are shared out over days in units of so many USD.
+UNIT = 0.0001
+
 
 def _baseline_counts(prints: DataFrame, params: Params) -> DataFrame:
     return (
-        between_days(prints, params, BASELINE_FROM, BASELINE_TO)
+        between_days(executions(prints), params, BASELINE_FROM, BASELINE_TO)
         .groupBy("ck", "rule_id")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -32,7 +36,7 @@ def baseline_rate(prints: DataFrame, params: Params) -> DataFrame:
 
 def observed_execs(prints: DataFrame, params: Params) -> DataFrame:
     return (
-        last_days(prints, params, CURRENT_FROM).groupBy("ck").agg(F.count("*").alias("observed"))
+        last_days(executions(prints), params, CURRENT_FROM).groupBy("ck").agg(F.sum("n").alias("observed"))
     )
 
 
@@ -94,6 +98,17 @@ def fully_avoided(prints: DataFrame, billing: DataFrame, params: Params) -> Data
     )
 
 
+def _layer_totals(prints: DataFrame, billing: DataFrame, params: Params) -> list[tuple[str, DataFrame]]:
+    """The layers and their totals over the lookback window, each a frame of one ``usd``."""
+    raw = warehouse_cost(billing, params).agg(F.sum("wh_usd").alias("usd"))
+    repeats = F.col("attributed_usd") * (F.col("execs") - 1) / F.col("execs")
+    # Both savings layers read the same costs, whose shuffles are then shared.
+    costs = current_costs(prints, billing, params)
+    projected = costs.agg(F.sum(repeats).alias("usd"))
+    realized = _effectiveness(prints, costs, params).agg(F.sum("realized_usd").alias("usd"))
+    return [("raw", raw), ("projected_saving", projected), ("realized_saving", realized)]
+
+
 def savings_layers(prints: DataFrame, billing: DataFrame, params: Params) -> DataFrame:
     """USD per waterfall layer over the lookback window.
 
@@ -101,15 +116,49 @@ def savings_layers(prints: DataFrame, billing: DataFrame, params: Params) -> Dat
     for ``projected_saving``; here it is the cost of the repeat executions, all but one per
     fingerprint.
     """
-    raw = warehouse_cost(billing, params).agg(F.sum("wh_usd").alias("usd"))
-    repeats = F.col("attributed_usd") * (F.col("execs") - 1) / F.col("execs")
-    # Both savings layers read the same costs, whose shuffles are then shared.
-    costs = current_costs(prints, billing, params)
-    projected = costs.agg(F.sum(repeats).alias("usd"))
-    realized = _effectiveness(prints, costs, params).agg(F.sum("realized_usd").alias("usd"))
-    layers = [("raw", raw), ("projected_saving", projected), ("realized_saving", realized)]
     out = None
-    for name, df in layers:
+    for name, df in _layer_totals(prints, billing, params):
         row = df.select(F.lit(name).alias("layer"), F.coalesce("usd", F.lit(0.0)).alias("usd"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def saving_waterfall(prints: DataFrame, billing: DataFrame, params: Params) -> DataFrame:
+    """The saving layers as rows of the waterfall: each total of :func:`savings_layers` per day and SKU.
+
+    A total, in units of ``UNIT`` USD, is apportioned to the days of the lookback window by their usage and then,
+    within a day, to its SKUs; so the rows of a layer add up to its total. They name no warehouse and no units.
+    """
+    micros = F.greatest(F.sum("usage_quantity"), F.lit(0)) * 1_000_000
+    usage = (
+        billing.where((F.col("d") >= params.since) & F.col("warehouse_id").isNotNull())
+        .groupBy("d", "sku_name")
+        .agg(micros.cast("decimal(19,0)").alias("weight"))
+    )
+    totals = dict(_layer_totals(prints, billing, params))
+    layers = [
+        F.struct(
+            F.lit(name).alias("layer"),
+            F.greatest(F.round(F.coalesce(totals[name].scalar(), F.lit(0.0)) / UNIT, 0), F.lit(0.0))
+            .cast("decimal(19,0)")
+            .alias("total"),
+        )
+        for name in ("projected_saving", "realized_saving")
+    ]
+    daily = usage.groupBy("d").agg(F.sum("weight").cast("decimal(19,0)").alias("weight"))
+    daily = daily.withColumn("layers", F.array(*layers)).select("d", "weight", F.inline("layers"))
+    days = apportion(daily, ["layer"], ["d"]).select("d", "layer", F.col("units").cast("decimal(19,0)").alias("total"))
+    shares = apportion(usage.join(days, "d"), ["layer", "d"], ["sku_name"])
+    return shares.select(
+        "d",
+        "sku_name",
+        F.lit(None).cast("string").alias("warehouse_id"),
+        F.lit(None).cast("double").alias("dbus"),
+        (F.col("units") * UNIT).alias("usd"),
+        "layer",
+    )
+
+
+def full_waterfall(prints: DataFrame, billing: DataFrame, params: Params) -> DataFrame:
+    """The raw layer and the saving layers: all rows of the waterfall table."""
+    return waterfall_daily(billing, params).unionByName(saving_waterfall(prints, billing, params))

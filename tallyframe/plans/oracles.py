@@ -151,6 +151,39 @@ waterfall AS (
   FROM billing WHERE d >= {AS_OF} - 30 AND warehouse_id IS NOT NULL GROUP BY d, sku_name, warehouse_id
 )"""
 
+# Largest remainder in whole units of a ten-thousandth USD: over days, then over the SKUs of a day.
+_LAYERS = f"""
+totals AS (
+  SELECT 'projected_saving' AS layer, CAST(round(coalesce(sum(attributed_usd * (execs - 1) / execs), 0) / 0.0001) AS HUGEINT) AS total
+  FROM effect_cost
+  UNION ALL
+  SELECT 'realized_saving', CAST(round(coalesce(sum(realized_usd), 0) / 0.0001) AS HUGEINT) FROM effect
+),
+usages AS (
+  SELECT d, sku_name, CAST(sum(usage_quantity) * 1000000 AS HUGEINT) AS weight
+  FROM billing WHERE d >= {AS_OF} - 30 AND warehouse_id IS NOT NULL GROUP BY d, sku_name
+),
+by_day AS (
+  WITH quotas AS (
+    SELECT layer, d, total, total * weight // sum(weight) OVER w AS base, total * weight % sum(weight) OVER w AS rest
+    FROM (SELECT d, CAST(sum(weight) AS HUGEINT) AS weight FROM usages GROUP BY d), totals WINDOW w AS (PARTITION BY layer)
+  )
+  SELECT layer, d, CAST(base + CASE WHEN row_number() OVER (PARTITION BY layer ORDER BY rest DESC, d)
+    <= total - sum(base) OVER (PARTITION BY layer) THEN 1 ELSE 0 END AS HUGEINT) AS total FROM quotas
+),
+by_sku AS (
+  WITH quotas AS (
+    SELECT layer, d, sku_name, total, total * weight // sum(weight) OVER w AS base, total * weight % sum(weight) OVER w AS rest
+    FROM usages JOIN by_day USING (d) WINDOW w AS (PARTITION BY layer, d)
+  )
+  SELECT layer, d, sku_name, base + CASE WHEN row_number() OVER (PARTITION BY layer, d ORDER BY rest DESC, sku_name)
+    <= total - sum(base) OVER (PARTITION BY layer, d) THEN 1 ELSE 0 END AS units FROM quotas
+),
+all_layers AS (
+  SELECT d, sku_name, warehouse_id, usd, layer FROM waterfall
+  UNION ALL SELECT d, sku_name, NULL, CAST(units AS DOUBLE) * 0.0001, layer FROM by_sku
+)"""
+
 _REDUNDANT = f"""
 redundant AS (
   SELECT ck, count(*) AS execs, CAST(round(CAST(sum(total_duration_ms) AS DECIMAL(27, 0)) / 1000, 1) AS DOUBLE) AS total_sec,
@@ -210,6 +243,21 @@ _EFFECT_COLUMNS = 'ck, rule_id, "window", CAST(baseline_rate AS DOUBLE) AS basel
 _STATEMENT_COLUMNS = "statement_id, warehouse_id, total_duration_ms, start_time, statement_text"
 _CUT = "TIMESTAMP '2024-03-01 00:00:00'"
 
+_FULL_WATERFALL = _PB + "," + _effectiveness() + "," + _WATERFALL + "," + _LAYERS
+
+_FULLY_AVOIDED = (
+    _PB
+    + ","
+    + _attributed("cost", 60, 31)
+    + f""" SELECT b.ck, b.rule_id, '2024-03-01/2024-03-31' AS "window",
+           CAST(CAST(b.n / 30.0 AS DECIMAL(27, 6)) AS DOUBLE) AS baseline_rate, b.n AS avoided,
+           round(b.n * coalesce(c.attributed_usd / nullif(c.execs, 0), 0), 4) AS realized_usd
+           FROM (SELECT ck, rule_id, count(*) AS n FROM prints
+                 WHERE d BETWEEN {AS_OF} - 60 AND {AS_OF} - 31 GROUP BY ck, rule_id) b
+           LEFT JOIN cost c USING (ck)
+           WHERE b.ck NOT IN (SELECT ck FROM prints WHERE d >= {AS_OF} - 30)"""
+)
+
 ORACLES: dict[str, str] = {
     "history_view": _H + f" SELECT * FROM history WHERE start_time >= {AS_OF} - 90",
     "history_self_view": _H
@@ -324,16 +372,7 @@ ORACLES: dict[str, str] = {
     + """, both_windows AS (SELECT * FROM newer UNION ALL SELECT * FROM older)
        SELECT rule_id, ck, "window", avoided, round(realized_usd, 4) AS realized_usd FROM both_windows
        WHERE "window" = (SELECT max("window") FROM both_windows)""",
-    "fully_avoided": _PB
-    + ","
-    + _attributed("cost", 60, 31)
-    + f""" SELECT b.ck, b.rule_id, '2024-03-01/2024-03-31' AS "window",
-           CAST(CAST(b.n / 30.0 AS DECIMAL(27, 6)) AS DOUBLE) AS baseline_rate, b.n AS avoided,
-           round(b.n * coalesce(c.attributed_usd / nullif(c.execs, 0), 0), 4) AS realized_usd
-           FROM (SELECT ck, rule_id, count(*) AS n FROM prints
-                 WHERE d BETWEEN {AS_OF} - 60 AND {AS_OF} - 31 GROUP BY ck, rule_id) b
-           LEFT JOIN cost c USING (ck)
-           WHERE b.ck NOT IN (SELECT ck FROM prints WHERE d >= {AS_OF} - 30)""",
+    "fully_avoided": _FULLY_AVOIDED,
     "savings_layers": _PB
     + ","
     + _effectiveness()
@@ -370,10 +409,28 @@ ORACLES: dict[str, str] = {
     + f""" SELECT 'push_pull' AS direction, 'ok' AS status, true AS size_agrees,
            (SELECT count(DISTINCT rule_id) FROM ({_RULE_DOCUMENTS})) AS rules,
            (SELECT count(*) FROM effect) AS exported""",
-    "spend_by_sku": _B
+    "spend_by_sku": _FULL_WATERFALL
+    + " SELECT d, sku_name, round(sum(usd), 4) AS usd, layer FROM all_layers GROUP BY d, sku_name, layer",
+    "waterfall_layers": _FULL_WATERFALL + " SELECT d, layer, round(sum(usd), 4) AS usd FROM all_layers GROUP BY d, layer",
+    "recompute_waterfall": _FULL_WATERFALL
+    + " SELECT d, sku_name, warehouse_id, round(usd, 4) AS usd, layer FROM all_layers",
+    "recompute_coverage": _H
     + ","
-    + _WATERFALL
-    + " SELECT d, sku_name, round(sum(usd), 4) AS usd, layer FROM waterfall GROUP BY d, sku_name, layer",
+    + _COVERAGE
+    + " SELECT d, gateway_routed, total, round(coverage_ratio, 6) AS coverage_ratio FROM cov",
+    "recompute_effectiveness": _PB
+    + ","
+    + _effectiveness()
+    + f" SELECT {_EFFECT_COLUMNS}, observed, avoided, round(realized_usd, 4) AS realized_usd FROM effect",
+    "executions_rollup": _P
+    + """ SELECT ck, rule_id, warehouse_id, count(*) AS n, CAST(sum(total_duration_ms) AS BIGINT) AS ms, d
+           FROM prints GROUP BY ck, rule_id, warehouse_id, d""",
+    "rollup_redundancy": _P + "," + _REDUNDANT + " SELECT * FROM redundant",
+    "rollup_fully_avoided": _FULLY_AVOIDED,
+    "ingest_arrivals": _ALL_PRINTS,
+    "ingest_changed_days": _P
+    + """ SELECT d, count(*) AS statements FROM prints
+          WHERE d IN (DATE '2024-02-20', DATE '2024-03-29', DATE '2024-03-30') GROUP BY d""",
     "savings_kpis": _PB
     + ","
     + _effectiveness()
@@ -423,7 +480,9 @@ ORACLES: dict[str, str] = {
     + _COVERAGE
     + ","
     + _WATERFALL
-    + """ SELECT 'waterfall_daily' AS table_name, count(*) AS "rows" FROM waterfall
+    + ","
+    + _LAYERS
+    + """ SELECT 'waterfall_daily' AS table_name, count(*) AS "rows" FROM all_layers
           UNION ALL SELECT 'coverage_daily', count(*) FROM cov
           UNION ALL SELECT 'rule_effectiveness', count(*) FROM effect""",
 }

@@ -22,10 +22,11 @@ from tallyframe.functions import (
 from tallyframe.operators import cost, coverage, ingest, predicates, reports, rules, savings
 from tallyframe.operators.ingest import to_prints
 from tallyframe.params import Params
-from tallyframe.plans.jobs import recompute, run_ingest, run_sync
+from tallyframe.plans.jobs import recompute, run_ingest, run_ingest_files, run_recompute, run_sync
 from tallyframe.schemas import EXPORT
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources import state, views
+from tallyframe.sources.rollup import read_rollup, refresh_rollup
 from tallyframe.sources.shared import new_folder
 from tallyframe.streaming import start_coverage, start_ingest
 
@@ -236,6 +237,54 @@ def ingest_late_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
 
 
+# Days of which half the statements arrive in the second delivery: 30 hours and 40 days late.
+LATE_DAYS = ("2024-03-29", "2024-02-20")
+LAST_DAY = "2024-03-30"
+
+
+def _deliveries(spark: SparkSession, sf: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The log in two deliveries, and what the history view shows after each.
+
+    The second has the last day, the late statements and some of the first delivery again.
+    """
+    log = src.history(spark, sf)
+    day, half = F.to_date("start_time"), F.xxhash64("statement_id") % 2 == 0
+    late = (day >= F.lit(LAST_DAY).cast("date")) | (day.isin(*(F.lit(d).cast("date") for d in LATE_DAYS)) & half)
+    again = day == F.lit(LATE_DAYS[0]).cast("date")
+    return [(log.where(~late), log.where(~late)), (log.where(late | again), log)]
+
+
+def _two_deliveries(spark: SparkSession, sf: str, recomputed: bool = False) -> str:
+    """The jobs after each of two deliveries, by files; the root of their tables."""
+    root, folder = new_folder(spark, "state"), new_folder(spark, "log")
+    state.create_state(spark, root)
+    for delivered, history in _deliveries(spark, sf):
+        delivered.write.mode("append").parquet(folder)
+        run_ingest_files(spark, root, folder, P)
+        if recomputed:
+            run_recompute(spark, root, history, src.billing(spark, sf), P, only_changed=True)
+    return root
+
+
+@query
+def ingest_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Ingest by arrival: the second run opens the files of the second delivery only."""
+    root = _two_deliveries(spark, sf)
+    return state.read_state(spark, root, "fingerprint_history").drop("ingested_at")
+
+
+@query
+def ingest_changed_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The days each delivery touched, with the statements that are stored of them."""
+    root = _two_deliveries(spark, sf)
+    changed = state.read_state(spark, root, "changed_days")
+    batches = changed.groupBy("batch").agg(F.min("changed_at").alias("at"), F.count("*").alias("days"))
+    stored = state.read_state(spark, root, "fingerprint_history").groupBy("d").agg(F.count("*").alias("statements"))
+    last = batches.agg(F.max("at"))
+    second = changed.where(F.col("changed_at") == last.scalar()).select("d")
+    return stored.join(second, "d").select("d", "statements")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The log as a stream into the state table, read back."""
@@ -430,7 +479,8 @@ def redundant_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def spend_by_sku(spark: SparkSession, sf: str) -> DataFrame:
-    waterfall = cost.waterfall_daily(src.billing(spark, sf), P)
+    """All layers of the waterfall."""
+    waterfall = savings.full_waterfall(_prints(spark, sf), src.billing(spark, sf), P)
     return reports.spend_by_sku(waterfall, P).select("d", "sku_name", *money("usd"), "layer")
 
 
@@ -550,6 +600,57 @@ def tag_audit(spark: SparkSession, sf: str) -> DataFrame:
     return rules.tag_audit(src.history(spark, sf))
 
 
+@query
+def recompute_waterfall(spark: SparkSession, sf: str) -> DataFrame:
+    """The waterfall table after a second recompute that read changed days only."""
+    root = _two_deliveries(spark, sf, recomputed=True)
+    return state.read_state(spark, root, "waterfall_daily").select("d", "sku_name", "warehouse_id", *money("usd"), "layer")
+
+
+@query
+def recompute_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    root = _two_deliveries(spark, sf, recomputed=True)
+    return state.read_state(spark, root, "coverage_daily").select("d", "gateway_routed", "total", *ratio("coverage_ratio"))
+
+
+@query
+def recompute_effectiveness(spark: SparkSession, sf: str) -> DataFrame:
+    root = _two_deliveries(spark, sf, recomputed=True)
+    return state.read_state(spark, root, "rule_effectiveness").select(
+        "ck", "rule_id", "window", "baseline_rate", "observed", "avoided", *money("realized_usd")
+    )
+
+
+@query
+def executions_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up of executions after both deliveries, each rolled up by its changed days."""
+    return read_rollup(spark, _two_deliveries(spark, sf, recomputed=True))
+
+
+@query
+def rollup_redundancy(spark: SparkSession, sf: str) -> DataFrame:
+    """The redundancy table from the stored roll-up."""
+    root = new_folder(spark, "state")
+    refresh_rollup(spark, root, _prints(spark, sf))
+    return _seconds(reports.redundancy_table(read_rollup(spark, root), P))
+
+
+@query
+def rollup_fully_avoided(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_folder(spark, "state")
+    refresh_rollup(spark, root, _prints(spark, sf))
+    return savings.fully_avoided(read_rollup(spark, root), src.billing(spark, sf), P).select(
+        *_effect_columns(), "avoided", *money("realized_usd")
+    )
+
+
+@query
+def waterfall_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """USD per day and layer; each saving layer adds up to its total of ``savings_layers``."""
+    waterfall = savings.full_waterfall(_prints(spark, sf), src.billing(spark, sf), P)
+    return waterfall.groupBy("d", "layer").agg(F.round(F.sum("usd"), 4).alias("usd"))
+
+
 @query
 def recompute_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the three tables of one recompute."""

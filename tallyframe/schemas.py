@@ -1,4 +1,4 @@
-"""Declared schemas of the two sources, the rule documents, the export and the six state tables."""
+"""Declared schemas of the two sources, the rule documents, the export and the state tables."""
 
 from __future__ import annotations
 
@@ -91,6 +91,18 @@ SYNC_LOG = _struct(
     ("status", _S, False),
 )
 
+# Which files of the history were taken in, which days they touched, and when the reports were rebuilt from that.
+INGESTED_FILES = _struct(
+    ("path", _S, False),
+    ("modified", _TS, False),
+    ("length", _L, False),
+    ("ingested_at", _TS, False),
+)
+
+CHANGED_DAYS = _struct(("d", _D, False), ("batch", _S, False), ("changed_at", _TS, False))
+
+RECOMPUTE_LOG = _struct(("started_at", _TS, False), ("batch", _S, True))
+
 STATE = {
     "fingerprint_history": FINGERPRINT_HISTORY,
     "waterfall_daily": WATERFALL_DAILY,
@@ -98,8 +110,21 @@ STATE = {
     "rule_effectiveness": RULE_EFFECTIVENESS,
     "rules": RULES,
     "sync_log": SYNC_LOG,
+    "ingested_files": INGESTED_FILES,
+    "changed_days": CHANGED_DAYS,
+    "recompute_log": RECOMPUTE_LOG,
 }
 
+# Executions per fingerprint, rule, warehouse and day: the roll-up that reports read.
+EXECUTIONS_DAILY = _struct(
+    ("ck", _S, False),
+    ("rule_id", _S, True),
+    ("warehouse_id", _S, True),
+    ("n", _L, False),
+    ("ms", _L, True),
+    ("d", _D, False),
+)
+
 PARTITIONED_BY = {
     "fingerprint_history": "d",
     "waterfall_daily": "d",
