@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. What markup names as menu, header, footer, sidebar, form, notice,
-advert or comments is left out. The first pass classifies the other blocks by link density, length and density
+A page is cut into blocks at block-level tags. Elements that are menu, header, footer, sidebar or the like by their tag
+or role are left out. A class, an id or a form only hints at that: such an element stays if it holds an article, or most
+of the text of a page that has none. The first pass classifies the other blocks by link density, length and density
 of stop words; the second lets undecided ones inherit from the nearest decided neighbours. Blocks of an
 ``article`` (or else ``main``) element are judged among themselves, and the rest of such a page is left out.
 """
@@ -41,9 +42,13 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
+    "time tt u var".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset(
-    "aside audio button canvas dialog footer form head header menu nav noscript object optgroup option search select svg "
+    "aside audio button canvas dialog footer head header menu nav noscript object optgroup option search select svg "
     "template video".split()
 ) | RAW
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -56,6 +61,10 @@ MARKS = frozenset(
     "toolbar widget".split()
 )
 COMMENT_MARKS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+# Parts of a class that say something else than what the element is: a state or an option, a topic, a phrase.
+STATES = frozenset("allowed closed disabled enabled has hide is no not off on open show with without".split())
+TOPICS = frozenset("cat category format status tag term topic type".split())
+PHRASES = frozenset("a an and at by for from in of the to".split())
 # What a start tag ends before itself: its own kind, unless one of these stands between.
 SIBLINGS = {
     "li": frozenset("ul ol menu dir".split()),
@@ -89,26 +98,49 @@ class Block:
 
     article: int
     heading: bool = False
+    hints: tuple[int, ...] = ()
+    paragraph: bool = False
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
     verdict: str = ""
 
 
-def _left_out(name: str, attrs: str) -> bool:
+def names_part(names: str, marks: frozenset[str]) -> bool:
+    """Whether classes and ids name a part of a page that is in ``marks``.
+
+    A class of several words does so if one of few words is a mark and none says that the class is about something
+    else, as in ``no-sidebar``, ``category-social-science`` or ``notice-of-award``.
+    """
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if len(parts) <= 3 and not marks.isdisjoint(parts):
+            if parts[0] not in TOPICS and STATES.isdisjoint(parts) and PHRASES.isdisjoint(parts):
+                return True
+    return False
+
+
+STAYS, HINTED, OUT = 0, 1, 2
+
+
+def _place(name: str, attrs: str) -> int:
+    """Whether an element stays, is out, or bears a hint that it is no part of the article."""
     if name in LEFT_OUT:
-        return True
+        return OUT
+    hinted = HINTED if name == "form" else STAYS
     if not attrs.strip() or name in ("html", "body"):
-        return False
+        return hinted
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return OUT
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
-        return True
+        return OUT
     if found.get("role", "").lower() in ROLES:
-        return True
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return not words.isdisjoint(COMMENT_MARKS if name in ("article", "main") else MARKS)
+        return OUT
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    if names_part(names, COMMENT_MARKS):
+        return OUT
+    return HINTED if name not in ("article", "main") and names_part(names, MARKS) else hinted
 
 
 def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
@@ -144,23 +176,27 @@ def _tags(page: str) -> Iterator[tuple[str, re.Match | None]]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page outside of what its markup leaves out, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, article
+    stack: list[tuple[str, int, int]] = []  # name, place, article
     is_open: Counter[str] = Counter()
-    dropped = articles = links = 0
+    dropped = articles = links = elements = 0
+    hints: tuple[int, ...] = ()  # the elements with a hint that are open
+    holds_article: set[int] = set()
     now = Block(0)
 
-    def flush(article: int, heading: bool = False) -> None:
+    def flush(article: int, heading: bool = False, tag: str = "") -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(article, heading)
+        now = Block(article, heading, hints, heading or tag == "p")
 
     def pop_to(i: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, hints
         while len(stack) > i:
-            name, left_out, _ = stack.pop()
+            name, place, _ = stack.pop()
             is_open[name] -= 1
-            dropped -= left_out
+            dropped -= place == OUT
+            if place == HINTED:
+                hints = hints[:-1]
 
     def open_above(name: str, limit: frozenset[str]) -> int:
         """Where ``name`` is open, looking down to the first of ``limit``; -1 if it isn't."""
@@ -186,11 +222,12 @@ def blocks(page: str) -> list[Block]:
         is_block = name in BLOCKS
         if tag["end"]:
             i = open_above(name, frozenset() if is_block else BLOCKS)
+            before = hints
             if i >= 0:
                 pop_to(i)
             if name == "a":
                 links = max(0, links - 1)
-            if is_block:
+            if is_block or hints != before:
                 links = 0
                 flush(stack[-1][2] if stack else 0)
             continue
@@ -212,43 +249,66 @@ def blocks(page: str) -> list[Block]:
                 articles += 1
                 # An article inside ``main`` counts, not what stands around it there.
                 article = articles if name == "article" else -articles
-            flush(article, name in HEADINGS)
+        place = STAYS if name in VOID or name in RAW else _place(name, tag["attrs"])
+        if place == HINTED and name in INLINE:
+            place = OUT
+        if place == HINTED:
+            elements += 1
+            hints = (*hints, elements)
+        if name in ("article", "main") and place == STAYS and not dropped:
+            holds_article.update(hints)
+        if is_block or place == HINTED:
+            flush(article, name in HEADINGS, name)
         if name in VOID or name in RAW:
             continue
         if name == "a":
             links = 1
-        out_of_text = _left_out(name, tag["attrs"])
-        dropped += out_of_text
-        stack.append((name, out_of_text, article))
+        dropped += place == OUT
+        stack.append((name, place, article))
         is_open[name] += 1
     flush(0)
     for block in out:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in out if b.text]
+    return _without_hinted([b for b in out if b.text], holds_article)
+
+
+def _without_hinted(found: list[Block], holds_article: set[int]) -> list[Block]:
+    """The blocks less those in an element with a hint that holds neither an article nor most of the text."""
+    inside: Counter[int] = Counter()
+    several: Counter[int] = Counter()
+    for block in found:
+        for hint in block.hints:
+            inside[hint] += len(block.text)
+            several[hint] += 1
+    whole = sum(len(b.text) for b in found)
+    # One block alone is an advert on a short page rather than the article, unless there is nothing else.
+    most = {h for h, n in inside.items() if 2 * n > whole and (several[h] > 1 or n == whole)}
+    stays = holds_article if any(b.article for b in found) else holds_article | most
+    return [b for b in found if stays.issuperset(b.hints)]
 
 
 def classify(block: Block, rules: Rules) -> str:
     """First pass: good, near (good unless its neighbours say no), bad, or open."""
     text = block.text
     linked = block.link_chars / max(1, len(text) - text.count(" "))
-    words = WORD.findall(text.lower())
-    stop = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
     if linked > rules.links:
         return "bad"
     if len(text) < rules.short:
         return "bad" if linked and not block.article else "open"
+    words = WORD.findall(text.lower())
+    stop = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
     if stop >= rules.many_stop_words:
         return "good" if len(text) >= rules.long else "near"
-    if stop >= rules.few_stop_words:
-        return "near"
-    # Inside an article a paragraph without stop words may be in another language, a table or a formula.
-    return "open" if block.article else "bad"
+    # What is long and has no stop words may be in another language, a table or a formula: its neighbours decide.
+    return "near" if stop >= rules.few_stop_words else "open"
 
 
 def inherit(section: list[Block]) -> None:
     """Second pass: blocks that are near or open take the side of the nearest decided neighbours.
 
-    A heading belongs to what follows it, and at an end of an article one neighbour is not enough to leave a block out.
+    A heading belongs to what follows it. A near block is bad only between two bad neighbours, outside of an article
+    also beside one. Where no neighbour is decided, or one at the end of an article, an article and a paragraph are
+    good, other blocks bad.
     """
     n = len(section)
     decided = [b.verdict if b.verdict in ("good", "bad") else "" for b in section]
@@ -260,11 +320,12 @@ def inherit(section: list[Block]) -> None:
     for i, block in enumerate(section):
         if decided[i]:
             continue
-        default = "good" if block.article else "bad"
+        default = "good" if block.article or block.paragraph else "bad"
         left = decided[before[i]] if before[i] >= 0 else ""
         right = decided[after[i]] if after[i] < n else ""
         if block.verdict == "near":
-            block.verdict = "good" if block.article or "good" in (left, right) or not (left or right) else "bad"
+            sides = {left, right} if block.article else {left, right} - {""}
+            block.verdict = "bad" if sides == {"bad"} else "good"
         elif not left or not right:
             block.verdict = default if block.article else left or right or default
         elif left == right:
@@ -289,8 +350,8 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
     if not any(b.article or b.verdict in ("good", "near") for b in found):
         # Another language, tables or code: without stop words on the whole page, length and links have to do.
         for block in found:
-            if len(block.text) >= rules.short and block.link_chars <= rules.links * len(block.text.replace(" ", "")):
-                block.verdict = "good" if len(block.text) >= rules.long else "near"
+            if block.verdict == "open" and len(block.text) >= rules.short:
+                block.verdict = "good"
     section: list[Block] = []
     for block in found:
         if section and section[-1].article != block.article:

@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyframe.llm.html_extract import blocks, extract, main_text
+from tallyframe.llm.html_extract import Rules, blocks, extract, main_text
 
 PROSE = "This is the kind of sentence that you would find in an article, and it has a lot of the common words in it. " * 3
 PROSE = PROSE.strip()
@@ -56,6 +58,74 @@ def test_page_without_article_and_stop_words():
     assert main_text(page(body)).split("\n") == ["Otsikko", long, SHORT, long]
 
 
+ARTICLE = f"<article><h1>Head</h1><p>{PROSE}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<div class="layout no-sidebar">{ARTICLE}</div>',
+        f'<div class="has-sticky-header">{ARTICLE}</div>',
+        f'<div class="category-social-science">{ARTICLE}</div>',
+        f'<article class="post comments-open"><h1>Head</h1><p>{PROSE}</p></article>',
+        f'<form id="aspnetForm"><div class="header">{PROSE}</div>{ARTICLE}</form>',
+        f'<div class="sidebarLayout widget">{ARTICLE}</div><div class="sidebar">{PROSE}</div>',
+        f'<form id="main-form"><h1>Head</h1><p>{PROSE}</p></form><div class="ad">{SHORT}</div>',
+        f'<div class="widget"><h1>Head</h1><p class="notice-of-award">{PROSE}</p></div>',
+        f'<app-shell class="page-header"><main><h1>Head</h1><p>{PROSE}</p></main></app-shell>',
+    ],
+)
+def test_a_class_does_not_empty_a_page(body):
+    assert main_text(page(body)).split("\n") == ["Head", PROSE]
+
+
+def test_hints_leave_out_what_is_beside_the_article():
+    for name in ("sidebar", "ad-slot", "siteHeader", "main-nav", "cookie-banner", "related-posts", "newsletter_signup"):
+        beside = f'<div class="{name}"><p>{PROSE}</p></div>'
+        assert main_text(page(f"{beside}{ARTICLE}{beside}")).split("\n") == ["Head", PROSE]
+        assert main_text(page(f"<p>{PROSE}</p><p>{PROSE}</p>{beside}")).split("\n") == [PROSE, PROSE]
+    inside = f'<article><p>{PROSE} <span class="share">x</span></p><form><p>{PROSE}</p></form><p>{PROSE}</p></article>'
+    assert main_text(page(inside)).split("\n") == [PROSE, PROSE]
+
+
+LINKED = "<p><a href=x>One linked line of words</a></p>"
+PLAIN = " ".join("tämä lause kertoo jotain muuta".split() * 8)
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "{}"])
+def test_neighbours_decide_inside_an_article_too(wrap):
+    """A long block without stop words, and a short one, between link lists and between prose."""
+    good = f"<p>{PROSE}</p>"
+    for undecided in (PLAIN, SHORT):
+        block = f"<p>{undecided}</p>"
+        assert main_text(page(wrap.format(f"{good}{LINKED}{block}{LINKED}{good}"))).split("\n") == [PROSE, PROSE]
+        assert main_text(page(wrap.format(f"{good}{block}{good}"))).split("\n") == [PROSE, undecided, PROSE]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "{}"])
+def test_thresholds_change_results(wrap):
+    near = "The house in the old town and on the hill was of another colour than it had been in other years, say many. " * 2
+    body = page(wrap.format(f"{LINKED}<p>{PROSE}</p>{LINKED}<p>{near}</p>{LINKED}<p>{SHORT}</p><p>{PROSE}</p>"))
+    usual = main_text(body)
+    assert near.strip() in usual and SHORT in usual
+    changed = [
+        Rules(many_stop_words=1.1),
+        Rules(many_stop_words=1.1, few_stop_words=1.1),
+        Rules(long=10**9),
+        Rules(links=1.0),
+        Rules(short=10**9),
+    ]
+    # Without article and stop words the fallback may reach the same text.
+    assert sum(main_text(body, rules) != usual for rules in changed) >= 3
+
+
+def test_pages_without_article_tags(spark, sf):
+    """Without the element the rules alone find nearly the same text."""
+    texts = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    same = [main_text(t) == main_text(re.sub("</?article>", "", t)) for t in texts]
+    assert len(same) > 20 and sum(same) >= 0.99 * len(same)
+
+
 PIECES = ["<", ">", "/", "p", "a ", "<p>", "</p>", "<article>", "</article>", "'", '"', "&amp", ";", "<!--", "-->", "<script>", "div"]
 
 
