@@ -179,9 +179,10 @@ def symbols(value: Column, kind: Column) -> Column:
     )
 
 
-def permuted(row: Column, kind: Column, key: str, rounds: int = ROUNDS) -> Column:
+def permuted(row: Column, kind: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
     """The row of symbols after an alternating Feistel network; a permutation for each kind and row of sizes."""
     format_ = F.when(kind.isin(*DATES), "date").otherwise(kind)
+    secret = key if isinstance(key, Column) else F.lit(key)
 
     def mixed(half: Column, other: Column, r: Column) -> Column:
         known = F.array_join(F.transform(other, lambda s: s["v"].cast("string")), ",")
@@ -194,7 +195,7 @@ def permuted(row: Column, kind: Column, key: str, rounds: int = ROUNDS) -> Colum
             return shift
 
         return _let(
-            F.concat_ws("|", F.lit(key), format_, F.size(row), r, known), lambda salt: F.transform(half, shifted(salt))
+            F.concat_ws("|", secret, format_, F.size(row), r, known), lambda salt: F.transform(half, shifted(salt))
         )
 
     def turn(state: Column, r: Column) -> Column:
@@ -259,7 +260,7 @@ def _number(value: Column, kind: Column) -> Column:
     return F.when((kind == "card") & is_valid(head, F.lit("card")), head).otherwise(value)
 
 
-def pseudonym(value: Column, key: str, rounds: int = ROUNDS) -> Column:
+def pseudonym(value: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
     """``kind`` and ``value`` of a found value: its pseudonym, or null and the value as it is where it isn't valid."""
 
     def judge(found: Column) -> Column:
@@ -280,7 +281,7 @@ def pseudonym(value: Column, key: str, rounds: int = ROUNDS) -> Column:
 
 def pseudonymise(
     docs: DataFrame,
-    key: str,
+    key: str | DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     rounds: int = ROUNDS,
@@ -293,14 +294,24 @@ def pseudonymise(
     everything else is unchanged. ``n_values`` counts them, ``kinds`` lists their formats, sorted and comma-joined.
     Mail addresses that differ in case only, and numbers that differ in punctuation only, share a pseudonym up to
     these. Null texts stay null with no values. Documents are rewritten one by one, so repeated rows give repeated
-    results and an empty table an empty one; other columns are not read. ``key`` must be kept secret: whoever has
-    it can undo the permutation.
+    results and an empty table an empty one; other columns are not read.
+
+    Not replaced: national phone numbers without a country code, dates with one-digit parts or month names, IPv6
+    addresses, and social security numbers without hyphens; digits alone don't tell these from other numbers.
+
+    ``key`` must be kept secret: whoever has it can undo the permutation. It is a string, or a frame with one row and
+    column, such as a table that few may read. Plans, and so event logs and messages, name only that relation, not its
+    value.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    if isinstance(key, str):
+        key = docs.sparkSession.sql("SELECT k FROM VALUES (:k) AS t(k)", args={"k": key})
+    rows = docs.select(
+        F.col(id_col), F.col(text_col).cast("string").alias("_text"), key.select(F.col(key.columns[0])).scalar().alias("_key")
+    )
     # Every format has a digit or an at sign; most texts have neither.
     may_have = F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0))
     found = rows.withColumn("_found", F.when(F.col("_text").rlike("[0-9@]"), may_have).otherwise(F.array().cast("array<string>")))
-    made = found.withColumn("_made", F.transform("_found", lambda v: pseudonym(v, key, rounds)))
+    made = found.withColumn("_made", F.transform("_found", lambda v: pseudonym(v, F.col("_key"), rounds)))
     between = F.split("_text", PATTERN, -1)
     joined = F.zip_with(between, "_made", lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit(""))))
     kinds = F.filter("_made.kind", lambda k: k.isNotNull())

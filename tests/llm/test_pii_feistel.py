@@ -185,3 +185,16 @@ def test_hostile_texts(spark, unit):
     text = unit * 50000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert len(pseudonymise(docs, KEY).first().text) == len(text)
+
+
+def test_the_key_is_not_in_the_plan(spark, documents):
+    secret = "a rather secret phrase"
+    out = pseudonymise(documents, secret)
+    out.collect()
+    plans = out._jdf.queryExecution().toString() + out._jdf.queryExecution().executedPlan().treeString()
+    for part in (secret, "rather secret", "secret phrase"):
+        assert part not in plans
+    assert "Python" not in plans
+    from_table = pseudonymise(documents, spark.createDataFrame([(secret,)], "secret string"))
+    assert sorted(from_table.collect()) == sorted(out.collect())
+    assert sorted(pseudonymise(documents, "other").collect()) != sorted(out.collect())
