@@ -10,17 +10,20 @@ ORACLES: dict[str, str] = {}
 LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _words = url_filter.Vocabulary()
+_by_term: dict[str, list[str]] = {}
+for _form, (_term, _) in sorted(_words.forms.items()):
+    _by_term.setdefault(_term, []).append(_form)
 _terms = ", ".join(
-    f"CASE WHEN regexp_matches(address, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])') THEN '{term}' END"
-    for term in sorted(_words.weights)
+    f"CASE WHEN regexp_matches(address, '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(forms)})($|[^\\p{{L}}\\p{{N}}])') THEN '{term}' END"
+    for term, forms in sorted(_by_term.items())
 )
-_weight = " ".join(f"WHEN '{term}' THEN {weight}" for term, weight in _words.weights.items())
+_weight = " ".join(f"WHEN '{term}' THEN {weight}" for term, weight in sorted(set(_words.forms.values())))
 _rules = ", ".join(
     f"('{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}', '{action}')" for action, rule in url_filter.RULES
 )
 ORACLES["op4_url_filter"] = f"""
 WITH split AS (
-  SELECT page_id, coalesce({LOWER_AZ.format("url")}, '') AS address,
+  SELECT page_id, coalesce({LOWER_AZ.format("url_decode(url)")}, '') AS address,
     CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages
 ), parts AS (

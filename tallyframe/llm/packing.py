@@ -28,24 +28,13 @@ def word_tokens(texts: pa.Array) -> pa.Array:
     return pa.array([len(t.as_buffer().to_pybytes().split()) + 1 for t in pc.fill_null(texts, "")], pa.int64())
 
 
-def histogram(lengths: DataFrame, per_octave: int | None = None) -> DataFrame:
+def histogram(lengths: DataFrame) -> DataFrame:
     """A row per length (column ``n_tokens``): the number ``n``, ``total`` and ``longest`` of its documents.
 
-    Different lengths add up, so there are at most as many rows as the square root of twice the tokens. With
-    ``per_octave`` lengths share a row when they agree in their leading bits, at most so many rows for every
-    doubling of the length.
+    Different lengths add up, so there are at most as many rows as the square root of twice the tokens.
     """
-    if per_octave is None:
-        n, length = F.count("*").alias("n"), F.col("n_tokens")
-        return lengths.groupBy("n_tokens").agg(n).select("n", (F.col("n") * length).alias("total"), length.alias("longest"))
-    step = F.greatest(F.lit(0), F.floor(F.log2("n_tokens")).cast("int") - F.lit(int(np.log2(per_octave))))
-    cell = F.expr("shiftleft(shiftright(n_tokens, step), step)")
-    return (
-        lengths.withColumn("step", step)
-        .groupBy(cell.alias("cell"))
-        .agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("longest"))
-        .select("n", "total", "longest")
-    )
+    n, length = F.count("*").alias("n"), F.col("n_tokens")
+    return lengths.groupBy("n_tokens").agg(n).select("n", (F.col("n") * length).alias("total"), length.alias("longest"))
 
 
 def _cuts(best: np.ndarray, upto_n: np.ndarray, upto_total: np.ndarray, longest: np.ndarray) -> np.ndarray:

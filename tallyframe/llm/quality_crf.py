@@ -47,15 +47,13 @@ BASE = (
 ).split()
 
 
-def line_features(text: str | None, max_lines: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features per line that isn't blank, and the lengths of these lines."""
     rows, lengths, seen = [], [], set()
     for line in (text or "").split("\n"):
         words = line.split()
         if not words:
             continue
-        if len(rows) == max_lines:
-            break
         n = len(words)
         kinds = line.encode().strip().translate(_CLASS)
         upper, lower, signs = kinds.count(b"U"), kinds.count(b"L"), kinds.count(b"S")
@@ -257,12 +255,10 @@ def train(
     text_col: str = "text",
     label_col: str = "quality",
     max_docs: int = MAX_DOCS,
-    max_lines: int | None = None,
 ) -> Model:
     """The model of at most ``max_docs`` labelled documents that aren't held out, chosen by a hash of their id.
 
-    A document with several labels counts as the worst of them. All lines of a document are used,
-    or its first ``max_lines``.
+    A document with several labels counts as the worst of them. All lines of a document are used.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
@@ -276,7 +272,7 @@ def train(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [line_features(t.as_py(), max_lines) for t in batch.column(2)]
+            made = [line_features(t.as_py()) for t in batch.column(2)]
             columns = [
                 batch.column(0),
                 batch.column(1),

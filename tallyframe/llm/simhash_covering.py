@@ -159,14 +159,14 @@ def near_duplicates(
     texts have fingerprint zero and are linked like others. Repeated rows get equal results, an empty table an
     empty one; other columns are not read.
     """
-    return _components_of(docs, id_col, text_col, shingle, radius).select(
+    prints = stored(docs.select(F.col(id_col).alias("id"), simhash(text_col, shingle).alias("fp")), "prints")
+    return _components_of(prints, radius).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def _components_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+def _components_of(prints: DataFrame, radius: int) -> DataFrame:
     """``id``, ``fp``, ``component_id`` and ``first_fp``, the smallest fingerprint under that id in the component."""
-    prints = stored(docs.select(F.col(id_col).alias("id"), simhash(text_col, shingle).alias("fp")), "prints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = components(links(classes.select("fp"), radius))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -186,14 +186,15 @@ def keep_first(
     """One row of each component of ``docs``, with all its columns: of those with the smallest id one with the
     smallest fingerprint.
 
-    A component without any id keeps its rows.
+    A component without any id keeps its rows. The documents are stored with their fingerprints, so that each is
+    computed once.
     """
     name, fp = fresh(docs, "component_of"), fresh(docs, "fp")
-    found = stored(_components_of(docs, id_col, text_col, shingle, radius), "components")
+    marked = stored(docs.withColumns({name: F.col(id_col), fp: simhash(text_col, shingle)}), "marked", "zstd")
+    found = stored(_components_of(marked.select(F.col(name).alias("id"), F.col(fp).alias("fp")), radius), "components")
     found = found.withColumnsRenamed({"id": name, "fp": fp})
     stays = F.col(name).eqNullSafe(F.col("component_id")) & F.coalesce(F.col(fp) == F.col("first_fp"), F.lit(True))
     dropped = found.where(~stays).select(name, fp).distinct()
-    marked = docs.withColumns({name: F.col(id_col), fp: simhash(text_col, shingle)})
     rest = marked.join(dropped, same(marked, dropped, [name, fp]), "left_anti")
     if not found.where(stays & F.col(name).isNotNull()).groupBy(name, fp).count().where("count > 1").isEmpty():
         named = rest.where(F.col(name).isNotNull()).dropDuplicates([name, fp])

@@ -1,3 +1,7 @@
+import random
+import re
+from urllib.parse import unquote
+
 import pytest
 
 from tallyframe.llm.url_filter import Vocabulary, terms_in, url_filter
@@ -20,6 +24,11 @@ CASES = [
     ("", "", "", None, "allow"),
     (None, "", "", None, "allow"),
     ("a://", "", "", None, "allow"),
+    ("https://a.org/p%6Frn/1", "a.org", "/p%6Frn/1", None, "block"),
+    ("https://a.org/%50ORN", "a.org", "/%50ORN", None, "block"),
+    ("https://a.org/xp%6Frn/%", "a.org", "/xp%6Frn/%", None, "allow"),
+    ("https://track.tracker.tracking.org/", "track.tracker.tracking.org", "/", None, "allow"),
+    ("https://track.bets.org/", "track.bets.org", "/", None, "block"),
     ("a://ÄB.net/É", "Äb.net", "/É", "net/", "block"),
     ("http://x.net/#f", "x.net", "/", "net/", "block"),
     ("http://" + "y" * 100000 + ".com/porn", "y" * 100000 + ".com", "/porn", None, "block"),
@@ -41,4 +50,36 @@ def test_cases(spark):
 @pytest.mark.parametrize("text, found", [("win", ["win"]), ("win win", ["win"]), ("winé win", ["win"]), ("winé", []), ("", [])])
 def test_boundaries(text, found):
     assert sorted(terms_in(Vocabulary().automaton(), text)) == found
-    assert terms_in(Vocabulary(weights={}).automaton(), text) == {}
+    assert terms_in(Vocabulary(forms={}).automaton(), text) == {}
+
+
+@pytest.mark.parametrize("reject_at", [2, 3])
+def test_large_random_vocabulary(spark, reject_at):
+    """10,000 forms from a table against a search for each form by itself."""
+    rng = random.Random(7)
+    letters = "abcé9"
+    rows = [
+        ("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))), rng.choice([None, "t1", "t2", "t3"]), rng.choice([1, 2]))
+        for _ in range(10_000)
+    ] + [("A9", "up", 1), ("a9", "zz", 1), (None, "x", 2), ("", "x", 2), ("q", "x", None)]
+    table = spark.createDataFrame(rows, "form string, term string, weight int")
+    best = {}
+    for form, term, weight in rows:
+        if form and weight:
+            form = form.replace("A", "a")
+            best[form] = min(best.get(form, (0, "")), (-weight, term or form))
+    urls = ["http://" + "".join(rng.choice(letters + "-./%") for _ in range(40)) for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    vocabulary = Vocabulary.read(table, reject_at)
+    assert vocabulary.forms == {f: (t, -w) for f, (w, t) in best.items()}
+    got = {r.page_id: (r.verdict, r.terms) for r in url_filter(pages, rules=(), vocabulary=vocabulary).collect()}
+    for i, url in enumerate(urls):
+        pieces = re.findall(r"[^\W_]+", unquote(url).lower())
+        terms = {}
+        for piece in pieces:
+            if piece in best:
+                weight, term = best[piece]
+                terms[term] = max(terms.get(term, 0), -weight)
+        assert got[i] == ("block" if sum(terms.values()) >= reject_at else "allow", ",".join(sorted(terms))), url
+    with pytest.raises(ValueError, match="more than 5"):
+        Vocabulary.read(table, max_forms=5)
