@@ -1,4 +1,4 @@
-"""The gateway's leading comment tag: ``/* abx v=1 ck=... rule=... route=... */ SELECT ...``."""
+"""What a statement says about how it came: the key=value tokens of its first comment, as columns."""
 
 from __future__ import annotations
 

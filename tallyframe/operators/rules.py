@@ -62,12 +62,13 @@ def export_documents(
 ) -> DataFrame:
     """Documents ``{reported_at, effectiveness: [...]}`` for the rule service, one per row.
 
-    The rows are counted and dealt by hash over as many documents as keep each near
-    ``rows_per_document``, so no list grows with the table.
+    The rows of the newest window are dealt by hash over as many documents as keep each near ``rows_per_document``, so
+    no list grows with the table. The window and its number of rows come from one subquery of the same job.
     """
-    rows = export_rows(effectiveness)
-    documents = max(1, -(-rows.count() // rows_per_document))
-    part = F.pmod(F.xxhash64("ck", "rule_id"), F.lit(documents).cast("long")).alias("part")
+    windows = effectiveness.groupBy("window").agg(F.count("*").alias("n"))
+    newest = windows.agg(F.max(F.struct("window", "n"))).scalar()
+    rows = effectiveness.where(F.col("window") == newest["window"])
+    part = F.pmod(F.xxhash64("ck", "rule_id"), F.ceil(newest["n"] / rows_per_document)).alias("part")
     body = F.struct(F.lit(reported_at).alias("reported_at"), F.col("effectiveness"))
     return (
         rows.groupBy(part)

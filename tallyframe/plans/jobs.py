@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import utc_day
@@ -130,7 +130,7 @@ def run_sync(
 ) -> None:
     """Take in rule documents, write the effectiveness documents, and log the run.
 
-    Without ``multi_line`` the rule files have one document per line.     A failure is logged with its message and raised.
+    Without ``multi_line`` the rule files have one document per line. A failure is logged with its message and raised.
     """
     status, payload_bytes = "ok", 0
     try:
@@ -138,8 +138,11 @@ def run_sync(
         if not incoming.isEmpty():
             write_rules(upsert_rules(read_state(spark, root, "rules"), incoming), root, ts)
         effectiveness = read_state(spark, root, "rule_effectiveness")
-        export_documents(effectiveness, ts.isoformat()).write.text(out_path)
-        payload_bytes = spark.read.text(out_path).agg(F.sum(F.octet_length("value"))).first()[0] or 0
+        sent = Observation()
+        # Counted while it is written.
+        size = F.sum(F.octet_length("value")).alias("bytes")
+        export_documents(effectiveness, ts.isoformat()).observe(sent, size).write.text(out_path)
+        payload_bytes = sent.get.get("bytes") or 0
     except Exception as exc:
         status = f"error: {exc}"
         raise

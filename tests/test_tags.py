@@ -8,34 +8,35 @@ from tallyframe.functions import has_tag, is_gateway_routed, parse_tag, tag_valu
 
 # Statement start, expected map (None for no or a void tag), expected has_tag.
 CASES = [
+    # Well formed: all fields, any order, any white space around them.
     (
-        "/* abx v=1 ck=abc rule=r42 route=warehouse */ SELECT 1",
-        {"v": "1", "ck": "abc", "rule": "r42", "route": "warehouse"},
-        True,
-    ),
-    (
-        "  \n/* abx v=1 ck=aaa route=warehouse rule=r1 */ SELECT 1",
-        {"v": "1", "ck": "aaa", "route": "warehouse", "rule": "r1"},
+        "/* abx route=bypass v=1 rule=nightly-7 ck=q4tz */ INSERT INTO sales VALUES (3)",
+        {"route": "bypass", "v": "1", "rule": "nightly-7", "ck": "q4tz"},
         True,
     ),
+    ("\t\r\n /*abx rule=r900 route=warehouse ck=m2 v=2*/ VALUES (2)", {"rule": "r900", "route": "warehouse", "ck": "m2", "v": "2"}, True),
     ("/*\tabx\nroute=cache_miss\r\nv=1*/x", {"route": "cache_miss", "v": "1"}, True),
     ("/* abx route=smaller_wh */", {"route": "smaller_wh"}, True),
+    # No tag at all.
     ("VALUES (1)", None, False),
     ("/* bi: sheet 4 */ VALUES (1)", None, False),
     ("", None, False),
     (None, None, False),
-    ("/* abx */ SELECT 1", None, False),
-    ("/* abx  */ SELECT 1", {}, True),
-    ("/* abx v=1 bad rule=r1 */ SELECT 1", None, True),
-    ("/* abx rule=r1 rule=r2 */ SELECT 1", {"rule": "r2"}, True),
-    ("/*abx a=b=c rule= */ SELECT 1", {"a": "b=c", "rule": ""}, True),
-    ("/* ABX v=1 */ SELECT 1", None, False),
-    ("/* abx v=1 */ /* dbt */ SELECT 1", {"v": "1"}, True),
-    ("/* abx a=* */ SELECT 1", None, False),
-    ("/* abxv=1 */ SELECT 1", None, False),
-    ("SELECT 1 /* abx v=1 */", None, False),
-    ("/* abx v=1", None, False),
-    ("/* abx =x ==y */ SELECT 1", {"": "=y"}, True),
+    # Nothing between marker and end: one white space belongs to the marker.
+    ("/* abx */ TABLE sales", None, False),
+    ("/* abx  */ TABLE sales", {}, True),
+    # A token without an equals sign voids the tag, a repeated key counts last.
+    ("/* abx ck=m2 nightly route=bypass */ TABLE sales", None, True),
+    ("/* abx route=bypass ck=m2 route=warehouse */ TABLE sales", {"route": "warehouse", "ck": "m2"}, True),
+    ("/*abx left=right=top rule= */ TABLE sales", {"left": "right=top", "rule": ""}, True),
+    ("/* abx =x ==y */ TABLE sales", {"": "=y"}, True),
+    # Not the marker, not at the start, not closed, or with a star inside.
+    ("/* Abx rule=r900 */ TABLE sales", None, False),
+    ("/* abxrule=r900 */ TABLE sales", None, False),
+    ("TABLE sales /* abx rule=r900 */", None, False),
+    ("/* abx rule=r900", None, False),
+    ("/* abx rule=r* */ TABLE sales", None, False),
+    ("/* abx ck=m2 */ /* sheet 4 */ TABLE sales", {"ck": "m2"}, True),
 ]
 
 

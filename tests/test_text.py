@@ -19,7 +19,7 @@ from tallyframe.functions import (
     to_second,
 )
 
-# Pinned values of algorithm version 1: text, normalized form, fingerprint.
+# Vectors of the contract for algorithm version 1 (text, normalized form, fingerprint).
 GOLDEN = [
     ("", "", "4oymiquy7qobjgx3"),
     (None, "", "4oymiquy7qobjgx3"),
