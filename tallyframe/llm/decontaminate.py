@@ -1,7 +1,7 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items.
 
 Texts are normalised to lower-case words. The words of the benchmark are numbered, every window of an item is a
-pattern of the automaton over these numbers, and each document is scanned once, as a sequence of numbers. Normalising
+pattern of the automaton over these numbers, and each document is scanned once, as a string of numbers. Normalising
 keeps byte positions, so a hit is mapped back to the original text.
 
 A task holds the automaton, one batch as it came, and the words of one document.
@@ -22,9 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tallyframe.llm.common import fresh, stored
 
 WINDOW = 13
-# Windows of one automaton, in bytes of text; an automaton takes about 7 times as much. A larger benchmark is
+# Windows of one automaton, in bytes of text; an automaton takes some 30 times as much. A larger benchmark is
 # scanned for in one job per block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 HIT = "struct<n_words:bigint,n_hit:bigint,items:array<{kind}>,spans:array<struct<from:int,upto:int>>,contaminated:boolean>"
 FOUND = "struct<n_words:bigint,ranges:array<struct<from:int,upto:int>>,items:array<{kind}>>"
 
@@ -73,25 +73,37 @@ def _blocks(windows: DataFrame, block_bytes: int) -> list:
 
 
 class Scanner:
-    """Finds all windows in a text: ``ranges`` of word numbers and the ids of the ``items``."""
+    """Finds all windows in a text: ``ranges`` of word numbers and the ids of the ``items``.
+
+    A word's number is written in digits to the base 64, each place with signs of its own, so that a pattern can't
+    match across words and a node of the automaton has few branches.
+    """
 
     def __init__(self, rows: list[tuple[str, list]]) -> None:
-        self.number: dict[bytes, int] = {}
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, ids in rows:
-            words = tuple(self.number.setdefault(w, len(self.number) + 1) for w in window.encode().split())
-            self.found.add_word(words, (len(words), ids))
+        windows = [(window.encode().split(), ids) for window, ids in rows]
+        words = sorted({w for window, _ in windows for w in window})
+        self.width = next(n for n in range(1, 99) if 64**n >= len(words))
+        self.code = {word: self._code(k) for k, word in enumerate(words)}
+        self.unknown = "?" * self.width
+        self.found = ahocorasick.Automaton()
+        for window, ids in windows:
+            self.found.add_word("".join([self.code[w] for w in window]), (len(window), ids))
         self.found.make_automaton()
 
+    def _code(self, k: int) -> str:
+        return "".join(chr(256 + 64 * place + (k >> 6 * place & 63)) for place in range(self.width))
+
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set]:
         words = normalised(text).split()
         ranges: list[tuple[int, int]] = []
         items: set = set()
-        if self.number:
-            # Bound to a name: the iterator does not keep the sequence alive.
-            numbers = tuple([self.number.get(w, 0) for w in words])
-            for end, (length, ids) in self.found.iter(numbers):
-                ranges.append((end + 1 - length, end + 1))
+        if self.code:
+            get, unknown = self.code.get, self.unknown
+            # Bound to a name: an iterator of the automaton need not keep its text alive.
+            coded = "".join([get(w, unknown) for w in words])
+            for end, (length, ids) in self.found.iter(coded):
+                last = end // self.width + 1
+                ranges.append((last - length, last))
                 items.update(ids)
         return len(words), ranges, items
 
