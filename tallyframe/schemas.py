@@ -103,6 +103,9 @@ CHANGED_DAYS = _struct(("d", _D, False), ("batch", _S, False), ("changed_at", _T
 
 RECOMPUTE_LOG = _struct(("started_at", _TS, False), ("batch", _S, True))
 
+# The batches that a stream began; whether it found rows in the table when it began itself.
+STREAM_BATCHES = _struct(("position", _S, False), ("batch", _L, False), ("on_rows", T.BooleanType(), False), ("begun_at", _TS, False))
+
 STATE = {
     "fingerprint_history": FINGERPRINT_HISTORY,
     "waterfall_daily": WATERFALL_DAILY,
@@ -113,6 +116,7 @@ STATE = {
     "ingested_files": INGESTED_FILES,
     "changed_days": CHANGED_DAYS,
     "recompute_log": RECOMPUTE_LOG,
+    "stream_batches": STREAM_BATCHES,
 }
 
 # Executions per fingerprint, rule, warehouse and day: the roll-up that reports read.

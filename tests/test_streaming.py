@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +9,8 @@ from tallyframe.params import Params
 from tallyframe.schemas import QUERY_HISTORY
 from tallyframe.sources import driver_tables as src
 from tallyframe.sources.state import create_state, read_state
-from tallyframe.streaming import history_stream, start_coverage, start_ingest
+from tallyframe.streaming import history_stream, rows_too_late, start_coverage, start_ingest
+from tallyframe.streaming import ingest as streaming_ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,69 @@ def test_coverage_stream_counts_late_statements(spark, tmp_path):
         start_coverage(history_stream(spark, folder), root, position).awaitTermination()
     rows = read_state(spark, root, "coverage_daily").collect()
     assert {r.d.day: r.total for r in rows} == {10: 2, 20: 1}
+
+
+def statement(i, start, status="FINISHED"):
+    return (f"s{i}", "u", "w", "SELECT", status, 1, 1, start, None, "SELECT 1")
+
+
+def add_file(spark, folder, *rows):
+    spark.createDataFrame(rows, QUERY_HISTORY).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run(spark, folder, root, position, **options):
+    query = start_ingest(history_stream(spark, folder, files_per_batch=1), root, position, **options)
+    query.awaitTermination()
+    return query
+
+
+def ids(spark, root):
+    return sorted(r.statement_id for r in read_state(spark, root, "fingerprint_history").collect())
+
+
+def test_state_replaces_the_look_up(spark, tmp_path, monkeypatch):
+    """Copies in one batch, in later batches and runs, late ones and a start in the future; the table is not asked."""
+    folder, root, position = (str(tmp_path / n) for n in ("log", "state", "position"))
+    create_state(spark, root)
+    monkeypatch.setattr(streaming_ingest, "dedupe", None)
+    now, until = datetime(2024, 3, 30, 10), datetime(2024, 3, 31, tzinfo=timezone.utc)
+    add_file(spark, folder, statement(1, now), statement(1, now), statement(2, datetime(2030, 1, 1)), statement(3, now, "RUNNING"))
+    run(spark, folder, root, position, until=until)
+    assert ids(spark, root) == ["s1", "s2"]
+    add_file(spark, folder, statement(1, now), statement(3, now), statement(4, now - timedelta(days=40)))
+    add_file(spark, folder, statement(4, now - timedelta(days=40)), statement(5, now - timedelta(hours=30)))
+    query = run(spark, folder, root, position, until=until)
+    assert ids(spark, root) == ["s1", "s2", "s3", "s4", "s5"] and rows_too_late(query) == 0
+    assert read_state(spark, root, "stream_batches").count() >= 3
+    assert any("rocksdb" in k.lower() for k in query.lastProgress.stateOperators[0].customMetrics)
+
+
+def test_rows_older_than_the_state_are_counted(spark, tmp_path):
+    folder, root, position = (str(tmp_path / n) for n in ("log", "state", "position"))
+    create_state(spark, root)
+    now = datetime(2024, 3, 30, 10)
+    add_file(spark, folder, statement(1, now))
+    run(spark, folder, root, position, keep_days=5)
+    add_file(spark, folder, statement(2, now - timedelta(days=9)), statement(3, now - timedelta(days=4)))
+    query = run(spark, folder, root, position, keep_days=5)
+    assert ids(spark, root) == ["s1", "s3"] and rows_too_late(query) == 1
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path, monkeypatch):
+    folder, root, position = (str(tmp_path / n) for n in ("log", "state", "position"))
+    create_state(spark, root)
+    add_file(spark, folder, *(statement(i, datetime(2024, 3, 30, i)) for i in range(5)))
+    write = streaming_ingest.append
+
+    def failing(df, root, table):
+        write(df, root, table)
+        if table == "fingerprint_history":
+            raise OSError("lost after the write")
+
+    monkeypatch.setattr(streaming_ingest, "append", failing)
+    with pytest.raises(Exception, match="lost after the write"):
+        run(spark, folder, root, position)
+    assert ids(spark, root) == [f"s{i}" for i in range(5)]
+    monkeypatch.setattr(streaming_ingest, "append", write)
+    run(spark, folder, root, position)
+    assert ids(spark, root) == [f"s{i}" for i in range(5)]
