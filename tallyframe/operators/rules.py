@@ -38,6 +38,20 @@ def read_rules(spark: SparkSession, path: str, pulled_at: Column, multi_line: bo
     return _rule_rows(documents, pulled_at)
 
 
+def rule_drift(rules: DataFrame) -> DataFrame:
+    """Which fields the rules' JSON has, by type: ``field``, ``type``, ``rules``, ``known``.
+
+    The documents are read as variants, so a field shows up whether or not the schema names it, and with the type that
+    it has in each rule. Text that is no JSON object is one row without a field. Fields of objects inside a rule count as
+    part of the object's type.
+    """
+    read = rules.select(F.try_parse_json("config_json").alias("config"))
+    field = rules.sparkSession.tvf.variant_explode_outer(F.col("config").outer())
+    seen = read.lateralJoin(field).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("type"))
+    known = F.coalesce(F.col("field").isin(*RULE_FIELDS.names), F.lit(False))
+    return seen.groupBy("field", "type").agg(F.count("*").alias("rules")).withColumn("known", known)
+
+
 def upsert_rules(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Whole-row update or insert by ``rule_id``; of several incoming versions the newest wins.
 

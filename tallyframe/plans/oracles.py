@@ -459,6 +459,12 @@ ORACLES: dict[str, str] = {
     "rules_table": _UPSERT,
     "rules_from_json": _RULE_DOCUMENTS,
     "rules_from_files": _RULE_DOCUMENTS,
+    "rule_drift": f"""
+      WITH pulled AS ({_RULE_DOCUMENTS}),
+      fields AS (SELECT config_json AS j, unnest(json_keys(config_json)) AS field FROM pulled)
+      SELECT field, CASE json_type(j, '$.' || field) WHEN 'VARCHAR' THEN 'STRING' ELSE 'BIGINT' END AS type, count(*) AS rules,
+             field IN ('rule_id', 'rule_type', 'description') AS known
+      FROM fields GROUP BY ALL""",
     "effectiveness_json": _PB
     + ","
     + _effectiveness()

@@ -570,6 +570,12 @@ def rules_from_json(spark: SparkSession, sf: str) -> DataFrame:
     return rules.parse_rules(src.rule_documents(spark, sf), "value", F.lit(CUT))
 
 
+@query
+def rule_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the rule documents that the schema doesn't name, and the types of those that it does."""
+    return rules.rule_drift(rules.parse_rules(src.rule_documents(spark, sf), "value", F.lit(CUT)))
+
+
 @query
 def rules_from_files(spark: SparkSession, sf: str) -> DataFrame:
     """Rule documents written as JSON lines and read by the file source."""

@@ -121,3 +121,28 @@ def test_tag_audit(spark):
     rows = [(f"s{i}", "u", "w", "S", "FINISHED", 1, 1, T0, T0, t) for i, t in enumerate([*texts.values(), None])]
     audit = rules.tag_audit(spark.createDataFrame(rows, QUERY_HISTORY))
     assert {r.outcome: r.statements for r in audit.collect()} == {**dict.fromkeys(texts, 1), "untagged": 2}
+
+
+def test_drift_shows_fields_and_types(spark):
+    texts = [
+        '{"rule_id": "r1", "rule_type": "cache", "ttl": 60}',
+        '{"rule_id": "r2", "ttl": "60 s", "scope": {"wh": "w1"}}',
+        '{"rule_id": 3, "ttl": 1.5, "scope": null}',
+        "{}",
+        "not json",
+        None,
+    ]
+    rows = rules.rule_drift(spark.createDataFrame([(t,) for t in texts], "config_json string")).collect()
+    got = {(r.field, r.type): (r.rules, r.known) for r in rows}
+    named = {k: v for k, v in got.items() if k[0] is not None}
+    assert named == {
+        ("rule_id", "STRING"): (2, True),
+        ("rule_id", "BIGINT"): (1, True),
+        ("rule_type", "STRING"): (1, True),
+        ("ttl", "BIGINT"): (1, False),
+        ("ttl", "STRING"): (1, False),
+        ("ttl", "DECIMAL(2,1)"): (1, False),
+        ("scope", "OBJECT<wh: STRING>"): (1, False),
+        ("scope", "VOID"): (1, False),
+    }
+    assert sum(n for (field, _), (n, _) in got.items() if field is None) == 3
