@@ -81,7 +81,26 @@ prints AS (
   FROM read WHERE execution_status = 'FINISHED'
 )"""
 
+# The log with tags of all kinds: bodies first, their fingerprints, then the tags in front of them.
+_TAGGED = f"""
+bodies AS (
+  SELECT * REPLACE (statement_text || chr(10) || ' JOIN u' || (CAST(substr(statement_id, 2) AS BIGINT) // 40) || ' USING (a)'
+    AS statement_text) FROM history
+),
+body_hashes AS (SELECT *, sha256({_NORMALIZE}) AS h FROM bodies),
+body_prints AS (SELECT * EXCLUDE (h), {_CK} AS body_ck, CAST(substr(statement_id, 2) AS BIGINT) % 6 AS kind FROM body_hashes),
+tagged AS (
+  SELECT * EXCLUDE (body_ck, kind) REPLACE (CASE kind
+    WHEN 0 THEN '/* abx v=1 ck=' || body_ck || ' rule=r1 route=warehouse */ '
+    WHEN 1 THEN '/* abx v=1 ck=q4tz route=bypass rule=r2 */ '
+    WHEN 2 THEN '/* abx v=1 route=smaller_wh */ '
+    WHEN 3 THEN '/* abx v=2 ck=' || body_ck || ' route=cache_miss */ '
+    WHEN 4 THEN '/* abx v=1 nightly ck=' || body_ck || ' */ '
+    ELSE '-- nothing' || chr(10) END || statement_text AS statement_text) FROM body_prints
+)"""
+
 _H = "WITH " + _EVENTS
+_TP = _H + "," + _TAGGED + "," + _PRINTS.replace("FROM history", "FROM tagged")
 _P = _H + "," + _PRINTS
 _B = "WITH " + _BILLING
 _PB = _P + "," + _BILLING
@@ -243,6 +262,22 @@ _EFFECT_COLUMNS = 'ck, rule_id, "window", CAST(baseline_rate AS DOUBLE) AS basel
 _STATEMENT_COLUMNS = "statement_id, warehouse_id, total_duration_ms, start_time, statement_text"
 _CUT = "TIMESTAMP '2024-03-01 00:00:00'"
 
+_ROUTE_MIX = f""" SELECT d, count(*) FILTER (route = 'warehouse') AS warehouse,
+           count(*) FILTER (route = 'cache_miss') AS cache_miss,
+           count(*) FILTER (route = 'smaller_wh') AS smaller_wh,
+           count(*) FILTER (route = 'bypass') AS bypass,
+           count(*) FILTER (route IS NULL) AS untagged
+           FROM prints WHERE d >= {AS_OF} - 30 GROUP BY d"""
+
+_TAG_AUDIT = r""" SELECT CASE WHEN raw_tokens IS NULL THEN 'untagged'
+                WHEN tokens IS NULL THEN 'void'
+                WHEN substr(list_filter(tokens, lambda t: starts_with(t, 'v='))[-1], 3) IS DISTINCT FROM '1'
+                  THEN 'other_version'
+                WHEN len(list_filter(tokens, lambda t: starts_with(t, 'ck='))) = 0 THEN 'no_ck'
+                WHEN substr(list_filter(tokens, lambda t: starts_with(t, 'ck='))[-1], 4) = ck THEN 'match'
+                ELSE 'ck_mismatch' END AS outcome, count(*) AS statements
+           FROM read GROUP BY 1"""
+
 _FULL_WATERFALL = _PB + "," + _effectiveness() + "," + _WATERFALL + "," + _LAYERS
 
 _FULLY_AVOIDED = (
@@ -448,13 +483,13 @@ ORACLES: dict[str, str] = {
     + """ SELECT e.rule_id, r.description, e."window", CAST(e.baseline_rate AS DOUBLE) AS baseline_rate, e.observed,
            e.avoided, round(e.realized_usd, 2) AS realized_usd
            FROM effect e LEFT JOIN rules r ON e.rule_id = r.rule_id""",
-    "route_mix": _P
-    + f""" SELECT d, count(*) FILTER (route = 'warehouse') AS warehouse,
-           count(*) FILTER (route = 'cache_miss') AS cache_miss,
-           count(*) FILTER (route = 'smaller_wh') AS smaller_wh,
-           count(*) FILTER (route = 'bypass') AS bypass,
-           count(*) FILTER (route IS NULL) AS untagged
-           FROM prints WHERE d >= {AS_OF} - 30 GROUP BY d""",
+    "route_mix": _P + _ROUTE_MIX,
+    "route_mix_all": _TP + _ROUTE_MIX,
+    "redundant_top50_growing": _TP + "," + _REDUNDANT + " SELECT * FROM redundant ORDER BY execs DESC, ck LIMIT 50",
+    "redundant_count_growing": _TP
+    + ","
+    + _REDUNDANT
+    + " SELECT count(*) AS redundant_fingerprints, least(count(*), 50) AS rows_shown FROM redundant",
     "rules_upsert": _UPSERT,
     "rules_table": _UPSERT,
     "rules_from_json": _RULE_DOCUMENTS,
@@ -470,15 +505,8 @@ ORACLES: dict[str, str] = {
     + _effectiveness()
     + """ SELECT '2024-03-31T00:00:00+00:00' AS reported_at, rule_id, ck, "window", avoided,
            round(realized_usd, 4) AS realized_usd FROM effect""",
-    "tag_audit": _P
-    + r""" SELECT CASE WHEN raw_tokens IS NULL THEN 'untagged'
-                WHEN tokens IS NULL THEN 'void'
-                WHEN substr(list_filter(tokens, lambda t: starts_with(t, 'v='))[-1], 3) IS DISTINCT FROM '1'
-                  THEN 'other_version'
-                WHEN len(list_filter(tokens, lambda t: starts_with(t, 'ck='))) = 0 THEN 'no_ck'
-                WHEN substr(list_filter(tokens, lambda t: starts_with(t, 'ck='))[-1], 4) = ck THEN 'match'
-                ELSE 'ck_mismatch' END AS outcome, count(*) AS statements
-           FROM read GROUP BY 1""",
+    "tag_audit": _P + _TAG_AUDIT,
+    "tag_audit_all": _TP + _TAG_AUDIT,
     "recompute_counts": _PB
     + ","
     + _effectiveness()

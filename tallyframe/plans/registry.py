@@ -503,6 +503,30 @@ def route_mix(spark: SparkSession, sf: str) -> DataFrame:
     return reports.route_mix(_prints(spark, sf), P)
 
 
+# The log with tags of all kinds and fingerprints that grow with it
+
+
+@query
+def route_mix_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.route_mix(to_prints(src.tagged_history(spark, sf)), P)
+
+
+@query
+def tag_audit_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.tag_audit(src.tagged_history(spark, sf))
+
+
+@query
+def redundant_top50_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """The screen cuts: there are many more redundant fingerprints than it shows."""
+    return _seconds(reports.redundant_top(to_prints(src.tagged_history(spark, sf)), P))
+
+
+@query
+def redundant_count_growing(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.redundant_count(reports.redundancy_table(to_prints(src.tagged_history(spark, sf)), P))
+
+
 # The shortest and the longest lookback
 
 

@@ -11,6 +11,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import fingerprint
 from tallyframe.params import Params
 from tallyframe.schemas import BILLING_USAGE, QUERY_HISTORY
 
@@ -81,6 +82,32 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_from_events(table(spark, sf_dir, "events"))
 
 
+def tagged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log once more, with statements on ever more tables and tags of all kinds.
+
+    Every forty statements there is a new table, so fingerprints grow with the log. By statement number modulo six the
+    tag is right, has another fingerprint, none, another version, a token without an equals sign, or is not there.
+    """
+    log = history(spark, sf_dir)
+    number = F.substring("statement_id", 2, 20).cast("long")
+    body = F.concat("statement_text", F.lit("\n JOIN u"), _s(F.floor(number / 40)), F.lit(" USING (a)"))
+    ck = fingerprint(body)
+    kind = number % 6
+
+    def tag(*parts: Column | str) -> Column:
+        return F.concat(F.lit("/* abx "), *(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(" */ "))
+
+    prefix = (
+        F.when(kind == 0, tag("v=1 ck=", ck, " rule=r1 route=warehouse"))
+        .when(kind == 1, tag("v=1 ck=q4tz route=bypass rule=r2"))
+        .when(kind == 2, tag("v=1 route=smaller_wh"))
+        .when(kind == 3, tag("v=2 ck=", ck, " route=cache_miss"))
+        .when(kind == 4, tag("v=1 nightly ck=", ck))
+        .otherwise("-- nothing\n")
+    )
+    return log.withColumn("statement_text", F.concat(prefix, body))
+
+
 def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One usage record per order, on day ``o_orderkey % 90``; ``wh5`` has cost but no statements."""
     orders = table(spark, sf_dir, "orders")
