@@ -33,6 +33,18 @@ def _within(df: DataFrame, lo: date, hi: date | None) -> DataFrame:
     return df if hi is None else df.where(F.col("d") <= F.lit(hi))
 
 
+def daily_usage(billing: DataFrame, params: Params) -> DataFrame:
+    """The usage records of the lookback window, added up per day, SKU and warehouse.
+
+    The reports of that window need no more of the records than this; the sums of decimals are exact, so they are the same.
+    """
+    return (
+        billing.where((F.col("d") >= params.since) & F.col("warehouse_id").isNotNull())
+        .groupBy("d", "sku_name", "warehouse_id")
+        .agg(F.sum("usage_quantity").alias("usage_quantity"))
+    )
+
+
 def waterfall_daily(billing: DataFrame, params: Params) -> DataFrame:
     """Units and USD per day, SKU and warehouse."""
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import utc_day
+from tallyframe.operators.cost import daily_usage
 from tallyframe.operators.coverage import coverage_daily
 from tallyframe.operators.ingest import FIRST_LOAD_DAYS, days_with_news, dedupe, first_load_from, to_prints
 from tallyframe.operators.predicates import of_days, since
@@ -16,7 +17,7 @@ from tallyframe.operators.rules import export_documents, read_rules, upsert_rule
 from tallyframe.operators.savings import full_waterfall, rule_effectiveness
 from tallyframe.params import Params
 from tallyframe.schemas import STATE
-from tallyframe.sources.arrivals import new_files, read_files
+from tallyframe.sources.arrivals import new_files, read_files, short_splits
 from tallyframe.sources.rollup import BUCKETS, read_rollup, refresh_rollup
 from tallyframe.sources.state import append, log_sync, overwrite, read_state, write_rules
 
@@ -65,7 +66,8 @@ def run_ingest_files(
     days = sorted(r.d for r in arrived.select(utc_day("start_time").alias("d")).distinct().collect())
     if days:
         prints = read_state(spark, root, "fingerprint_history")
-        append(dedupe(to_prints(arrived), prints, days), root, "fingerprint_history")
+        with short_splits(spark):
+            append(dedupe(to_prints(arrived), prints, days), root, "fingerprint_history")
         batch = uuid.uuid4().hex
         append(spark.createDataFrame([(d, batch, now) for d in days], STATE["changed_days"]), root, "changed_days")
     noted = spark.createDataFrame([(*f, now) for f in files], STATE["ingested_files"])
@@ -112,15 +114,20 @@ def run_recompute(
     The days of the lookback are replaced as a whole: one that has no rows any more is removed. Older
     days stay unless told otherwise. With ``only_changed`` the roll-up and the coverage are rebuilt for the days that
     :func:`run_ingest_files` touched since the last recompute, all else comes from the roll-up; the first run has
-    them all. Repeating a run that broke off gives the same tables.
+    them all. Repeating a run that broke off gives the same tables. The usage records are read once and added up per
+    day, SKU and warehouse; all three tables are made from these few rows.
     """
     now = now or datetime.now(timezone.utc)
     days, batches = pending_changes(spark, root)
     days = days if only_changed else None
     refresh_rollup(spark, root, read_state(spark, root, "fingerprint_history"), days, buckets)
-    for table, df in recompute(history, billing, read_rollup(spark, root, buckets), params, days).items():
-        part = table == "coverage_daily" and days is not None
-        overwrite(df, root, table, keep_other_days or part, None if part else params.ago(params.lookback))
+    usage = daily_usage(billing, params).persist()
+    try:
+        for table, df in recompute(history, usage, read_rollup(spark, root, buckets), params, days).items():
+            part = table == "coverage_daily" and days is not None
+            overwrite(df, root, table, keep_other_days or part, None if part else params.ago(params.lookback))
+    finally:
+        usage.unpersist()
     log = [(now, batch) for batch in batches or [None]]
     append(spark.createDataFrame(log, STATE["recompute_log"]), root, "recompute_log")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,10 @@ from tallyframe.schemas import QUERY_HISTORY
 # How long after its modification time a file may still turn up in the listing of its folder.
 SETTLE = timedelta(hours=6)
 
+# Bytes of a file that one task reads at most where each text is worked on; 16 MB are some 400,000 short statements.
+TEXT_SPLIT = 16 << 20
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+
 
 def listed_files(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
     """``path``, ``modified``, ``length`` of the Parquet files below ``path``, from the listing alone.
@@ -40,6 +46,21 @@ def new_files(spark: SparkSession, path: str, seen: DataFrame, settle: timedelta
     return listed_files(spark, path, after).join(seen, ["path", "modified", "length"], "left_anti")
 
 
+@contextmanager
+def short_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that run within have splits of at most ``TEXT_SPLIT``.
+
+    Texts are packed well and take long, so splits as for other scans make too few tasks to fill the cores evenly.
+    """
+    before = spark.conf.get(_SPLIT)
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(_SPLIT, str(min(size, TEXT_SPLIT)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT, before)
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The history in the given files. Their names are all that the driver holds, as for any scan."""
     return spark.read.schema(QUERY_HISTORY).parquet(*paths)

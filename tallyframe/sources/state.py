@@ -52,7 +52,9 @@ def create_state(spark: SparkSession, root: str, tables: Iterable[str] = tuple(S
         schema, key = STATE[table], PARTITIONED_BY.get(table)
         if table == "rules":
             schema, key = RULE_SNAPSHOTS, "snapshot"
-        writer = spark.createDataFrame([], schema).write.mode("ignore")
+        # A query without rows, unlike an empty list, needs no Python worker to be written.
+        empty = spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        writer = empty.coalesce(1).write.mode("ignore")
         (writer.partitionBy(key) if key else writer).parquet(state_path(root, table))
 
 

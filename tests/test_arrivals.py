@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.ingest import to_prints
 from tallyframe.params import Params
-from tallyframe.plans import jobs
+from tallyframe.plans import jobs, registry
 from tallyframe.schemas import QUERY_HISTORY
 from tallyframe.sources import arrivals, state
 from tallyframe.sources import driver_tables as src
@@ -233,3 +233,40 @@ def test_rollup_of_another_session_is_found(spark, tmp_path):
 
     spark.sql(f"DROP TABLE {rollup_table(spark, root, 3)}")
     assert values(read_rollup(spark, root, 3)) == values(rolled_up(prints))
+
+
+def test_usage_records_are_read_once(spark, root):
+    """One recompute makes three tables and their layers from one pass over the usage records."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(_):
+        read.add(1)
+        return True
+
+    history, billing = src.history(spark, SF), src.billing(spark, SF)
+    state.append(to_prints(history), root, "fingerprint_history")
+    watched = billing.where(counted.asNondeterministic()("usage_quantity"))
+    jobs.run_recompute(spark, root, history, watched, src.PARAMS)
+    assert read.value == billing.count()
+    spend = state.read_state(spark, root, "waterfall_daily").where("layer = 'raw'").agg(F.round(F.sum("usd"), 4))
+    known = billing.where((F.col("d") >= src.PARAMS.since) & F.col("warehouse_id").isNotNull())
+    assert spend.first()[0] == known.agg(F.round(F.sum(F.col("usage_quantity").cast("double")) * 0.7, 4)).first()[0]
+
+
+def test_deliveries_are_even_files(spark, tmp_path):
+    """The events are one row group, which is one task; their texts are made and read by many."""
+    assert src.table(spark, SF, "events").rdd.getNumPartitions() == 1
+    folder = str(tmp_path / "log")
+    first, _ = registry._deliveries(spark, SF)[0]
+    first.write.parquet(folder)
+    rows = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert len(rows) > spark.sparkContext.defaultParallelism and max(rows) * len(rows) <= 2 * sum(rows)
+
+
+def test_texts_are_read_in_short_splits(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(OSError), arrivals.short_splits(spark):
+        assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) == arrivals.TEXT_SPLIT
+        raise OSError("lost")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
